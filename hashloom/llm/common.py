@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
+
 DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A side is broadcast only up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
@@ -66,6 +68,12 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow with this package's code at hand on the executors."""
+    ship_package(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

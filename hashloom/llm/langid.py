@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, sample_texts
+from .common import blocks, map_arrow, sample_texts
 
 BLOCK = 4096
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -117,4 +117,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             )
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"))
-    return picked.mapInArrow(run, SCHEMA)
+    return map_arrow(picked, run, SCHEMA)

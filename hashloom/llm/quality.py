@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, fit_logistic, held_out, sample_texts
+from .common import blocks, fit_logistic, held_out, map_arrow, sample_texts
 
 BLOCK = 4096
 LEVEL = 3
@@ -130,7 +130,7 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 names=["doc_id", "diff", "p_good", "keep"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return map_arrow(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), run, SCHEMA)
 
 
 def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
@@ -144,4 +144,4 @@ def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
             keep = [bool(t and t.strip()) and s.probability(t)[1] >= s.model.threshold for t in b.column(at).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, quality, simhash_dedup
+from . import decontaminate, langid, licenses, media, packing, pii, quality, sharding, simhash_dedup, substring_dedup
 from .common import table
 
 
@@ -17,10 +17,51 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.groups(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs, licenses.train(docs))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_entities(table(spark, sf_dir, "documents"))
+
+
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_interleaved_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.interleave(table(spark, sf_dir, "pages"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash_near_dedup, op10_language_id)}
-ORACLE_SQL: dict[str, str] = {}
+_ALL = (
+    op1_quality_classifier,
+    op2_simhash_near_dedup,
+    op3_decontamination,
+    op4_license_scan,
+    op5_packing,
+    op6_pii,
+    op7_sharding,
+    op8_substring_dedup,
+    op9_interleaved_media,
+    op10_language_id,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+ORACLE_SQL = {"op8_substring_dedup": substring_dedup.ORACLE_SQL}

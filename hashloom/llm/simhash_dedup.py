@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, sized_broadcast, written
+from .common import forget, map_arrow, sized_broadcast, written
 
 RADIUS = 28
 PAIR_RADIUS = 40
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             )
 
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
-    return picked.mapInArrow(run, _FP_SCHEMA)
+    return map_arrow(picked, run, _FP_SCHEMA)
 
 
 def sampled_bits(tables: int, shard_bits: int, seed: int = 5) -> list[list[int]]:
@@ -107,7 +107,7 @@ def _shard_keys(nodes: DataFrame, tables: int, shard_bits: int) -> DataFrame:
                     key = (key << 1) | bits[:, b]
                 yield pa.RecordBatch.from_arrays([pa.array(key), *batch.columns], names=["shard", *batch.schema.names])
 
-    return nodes.select("rep", "a", "b", "c", "d").mapInArrow(run, "shard bigint, rep bigint, a bigint, b bigint, c bigint, d bigint")
+    return map_arrow(nodes.select("rep", "a", "b", "c", "d"), run, "shard bigint, rep bigint, a bigint, b bigint, c bigint, d bigint")
 
 
 class BKTree:
@@ -204,7 +204,7 @@ def near_edges(nodes: DataFrame, radius: int, pair_radius: int, tables: int, sha
                 out += shard_edges(list(zip(*(c[lo:hi] for c in columns))), radius, pair_radius)
             yield pa.RecordBatch.from_arrays([pa.array([e[k] for e in out], pa.int64()) for k in (0, 1)], names=["u", "v"])
 
-    return shards.mapInArrow(run, "u bigint, v bigint").distinct()
+    return map_arrow(shards, run, "u bigint, v bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
