@@ -157,15 +157,17 @@ def murmur64(data: Column, seed: int = SEED) -> Column:
             lambda x: finish(F.struct(x["h1"].alias("h1"), F.when(x["t"].isNull(), x["h2"]).otherwise(_times_m(x["h2"].bitwiseXOR(x["t"]))).alias("h2"))),
         )
 
-    return F.when(data.isNotNull(), let(F.hex(data), whole_hash))
+    return let(F.hex(data), lambda digits: F.when(digits.isNotNull(), whole_hash(digits)))
 
 
 def md5_64(data: Column) -> Column:
     """bigint of the first eight bytes of MD5, lowest byte first."""
-    d = F.md5(data)
-    swapped = F.concat(*[F.substring(d, F.lit(2 * i + 1), F.lit(2)) for i in reversed(range(8))])
-    high, low = (F.conv(F.substring(swapped, F.lit(at), F.lit(8)), 16, 10).cast("bigint") for at in (1, 9))
-    return F.shiftleft(high, 32).bitwiseOR(low)
+
+    def first_half(d: Column) -> Column:
+        high, low = (_little_endian(d, F.lit(at), 4) for at in (4, 0))
+        return F.shiftleft(high, 32).bitwiseOR(low)
+
+    return let(F.md5(data), first_half)
 
 
 def feature_hash(data: Column, algorithm: str = "murmur") -> Column:

@@ -28,6 +28,11 @@ def _total(v: Column, f) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, e: s + f(e["val"].cast("double")))
 
 
+def _over(v: Column, n: Column, possible: Column) -> Column:
+    """v's values over n; no entries where that isn't possible, null for null."""
+    return F.when(possible, _map(v, lambda y: y.cast("double") / n)).otherwise(F.when(v.isNotNull(), empty_vector()))
+
+
 def empty_vector() -> Column:
     return F.array().cast(VECTOR)
 
@@ -61,7 +66,7 @@ def vector_of(dims: Column, vals: Column | None = None, sign_mode: str = "aligne
             ),
         )
 
-    return F.when(dims.isNotNull(), let(rows, runs))
+    return let(rows, lambda x: F.when(x.isNotNull(), runs(x)))
 
 
 def sparsify(v: Column) -> Column:
@@ -70,8 +75,7 @@ def sparsify(v: Column) -> Column:
 
 def add(a: Column, b: Column) -> Column:
     """The sum of two vectors; entries that cancel out stay, with 0."""
-    joined = F.array_sort(F.concat(a, b))
-    return vector_of(F.transform(joined, lambda e: e["dim"]), F.transform(joined, lambda e: e["val"]))
+    return let(F.concat(a, b), lambda x: vector_of(F.transform(x, lambda e: e["dim"]), F.transform(x, lambda e: e["val"])))
 
 
 def times(a: Column, b: Column) -> Column:
@@ -125,8 +129,11 @@ def norm(v: Column, kind: str) -> Column:
         return v
     if kind not in ("l1", "l2"):
         raise ValueError(f"no norm named {kind!r}")
-    size = _total(v, F.abs) if kind == "l1" else F.sqrt(_total(v, lambda x: x * x))
-    return let(F.struct(v.alias("v"), size.alias("n")), lambda x: F.when(x["n"] > 0, _map(x["v"], lambda y: y.cast("double") / x["n"])).otherwise(F.when(x["v"].isNotNull(), empty_vector())))
+
+    def size(x: Column) -> Column:
+        return _total(x, F.abs) if kind == "l1" else F.sqrt(_total(x, lambda y: y * y))
+
+    return let(v, lambda x: let(size(x), lambda n: _over(x, n, n > 0)))
 
 
 def threshold(v: Column, low: float = 0.0, high: float = 0.0) -> Column:
@@ -145,25 +152,36 @@ def embed(v: Column, kind: str) -> Column:
     if kind == "bin":
         return binarize(v)
     if kind == "tf":
-        return let(F.struct(v.alias("v"), _total(v, lambda x: x).alias("n")), lambda x: F.when(x["n"] != 0, _map(x["v"], lambda y: y.cast("double") / x["n"])).otherwise(F.when(x["v"].isNotNull(), empty_vector())))
+        return let(v, lambda x: let(_total(x, lambda y: y), lambda n: _over(x, n, n != 0)))
     raise ValueError(f"no embedding named {kind!r}")
 
 
 def equals(a: Column, b: Column, tolerance: float = 1e-6) -> Column:
     """Whether two vectors have the same dims and values within the tolerance."""
-    same = F.transform(a, lambda e: e["dim"]) == F.transform(b, lambda e: e["dim"])
-    near = F.forall(F.zip_with(a, b, lambda x, y: F.abs(x["val"] - y["val"])), lambda d: d <= tolerance)
-    return F.when(same, near).otherwise(same)
+
+    def both(x: Column) -> Column:
+        same = F.transform(x["a"], lambda e: e["dim"]) == F.transform(x["b"], lambda e: e["dim"])
+        near = F.forall(F.zip_with(x["a"], x["b"], lambda p, q: F.abs(p["val"] - q["val"])), lambda d: d <= tolerance)
+        return F.when(same, near).otherwise(same)
+
+    return let(F.struct(a.alias("a"), b.alias("b")), both)
 
 
 def simhash(v: Column, bits: int, num: int = 32) -> Column:
     """Bit j is 1 where the entries whose dim has bit j outweigh the others."""
     num = min(num, bits)
-    side = lambda j: F.aggregate(
-        v, F.lit(0.0).cast("float"), lambda s, e: (s + F.when(F.call_function("shiftright", e["dim"], j).bitwiseAND(F.lit(1)) == 1, e["val"]).otherwise(-e["val"])).cast("float")
-    )
-    rows = F.transform(F.sequence(F.lit(0), F.lit(num - 1)), lambda j: F.struct(j.cast("bigint").alias("dim"), side(j).alias("s")))
-    return F.transform(F.filter(rows, lambda r: r["s"] > 0), lambda r: _entry(r["dim"], F.lit(1.0)))
+
+    def side(x: Column, j: Column) -> Column:
+        def step(s: Column, e: Column) -> Column:
+            inside = F.call_function("shiftright", e["dim"], j).bitwiseAND(F.lit(1)) == 1
+            return (s + F.when(inside, e["val"]).otherwise(-e["val"])).cast("float")
+
+        return F.aggregate(x, F.lit(0.0).cast("float"), step)
+
+    def rows(x: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(num - 1)), lambda j: F.struct(j.cast("bigint").alias("dim"), side(x, j).alias("s")))
+
+    return F.transform(F.filter(let(v, rows), lambda r: r["s"] > 0), lambda r: _entry(r["dim"], F.lit(1.0)))
 
 
 def _unsigned_min(v: Column, constant: int, bits: int) -> Column:
@@ -178,7 +196,7 @@ def minhash(v: Column, bits: int, num: int = 32) -> Column:
     rounds = -(-num // bits)
     constants = rehash_constants(rounds)
 
-    def one(r: int) -> Column:
+    def one(v: Column, r: int) -> Column:
         at = F.sequence(F.lit(0), F.lit(min(bits, num - r * bits) - 1))
 
         def bits_of(m: Column) -> Column:
@@ -187,8 +205,7 @@ def minhash(v: Column, bits: int, num: int = 32) -> Column:
 
         return let(_unsigned_min(v, constants[r], bits), bits_of)
 
-    rows = [one(r) for r in range(rounds)]
-    return F.when(v.isNotNull(), F.concat(*rows))
+    return let(v, lambda x: F.when(x.isNotNull(), F.concat(*[one(x, r) for r in range(rounds)])))
 
 
 def _unsigned_mod(x: Column, n: int) -> Column:
@@ -200,10 +217,10 @@ def bloom(v: Column, num: int = 32, k: int = 2) -> Column:
     """A Bloom filter of num bits and k alternative hashes over the dims."""
     constants = rehash_constants(max(0, k - 1))[:k]
 
-    def places(constant: int) -> Column:
-        return F.transform(v, lambda e: _unsigned_mod(e["dim"].bitwiseXOR(F.lit(signed64(constant))), num))
+    def places(x: Column, constant: int) -> Column:
+        return F.transform(x, lambda e: _unsigned_mod(e["dim"].bitwiseXOR(F.lit(signed64(constant))), num))
 
-    dims = F.flatten(F.array(*[places(c) for c in constants]))
+    dims = let(v, lambda x: F.flatten(F.array(*[places(x, c) for c in constants])))
     return F.transform(F.array_sort(F.array_distinct(dims)), lambda d: _entry(d, F.lit(1.0)))
 
 
