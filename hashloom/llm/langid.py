@@ -20,6 +20,9 @@ from .common import blocks, map_arrow, sample_texts
 BLOCK = 4096
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 LEVEL = 3
+#: Beyond 128 KiB zstandard searches a dictionary with the parameters for long inputs, which find short matches better.
+DICT_BYTES = 132 << 10
+MIN_MARGIN = 0.03
 SCHEMA = "doc_id bigint, lang string, predicted string, margin double, accepted boolean"
 
 
@@ -36,7 +39,7 @@ class LanguageModel:
     min_margin: float
 
 
-def build_model(sample: dict, dict_bytes: int = 64 << 10, min_margin: float = 0.02) -> LanguageModel:
+def build_model(sample: dict, dict_bytes: int = DICT_BYTES, min_margin: float = MIN_MARGIN) -> LanguageModel:
     """A model from {language: [(doc_id, text)]}; each text gives as many bytes as
     fit when all of a language's texts share dict_bytes evenly."""
     content = []
@@ -77,7 +80,7 @@ class Identifier:
 _known: dict[LanguageModel, Identifier] = {}
 
 
-def train(docs: DataFrame, per_language: int = 200, seed: int = 29, min_margin: float = 0.02, max_languages: int = 400) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 200, seed: int = 29, min_margin: float = MIN_MARGIN, max_languages: int = 400) -> LanguageModel:
     """A model from a bounded sample: `per_language` documents of each language
     that docs.lang names.  More than max_languages different labels raise ValueError."""
     langs = [r.lang for r in docs.select("lang").filter("lang is not null").distinct().limit(max_languages + 1).collect()]
