@@ -5,7 +5,8 @@
 2. A shard holds the nodes that agree in some sampled bits of the first half.
    There are `tables` samples of `shard_bits` bits each; two fingerprints that
    differ in a share p of their bits meet in a shard with probability
-   1 - (1 - (1-p)**shard_bits)**tables.
+   1 - (1 - (1-p)**shard_bits)**tables.  The bits follow the number of nodes, so that a
+   shard stays small, and the tables the bits, so that this probability stays.
 3. The nodes of a shard meet in one task, which builds their BK-tree (children
    keyed by the Hamming distance to the parent) and, for every node, follows only
    the edges within the radius.  A match must also be near in the second half.
@@ -17,20 +18,23 @@ them together are as large as the corpus.
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import forget, map_arrow, sized_broadcast, written
 
-RADIUS = 28
-PAIR_RADIUS = 40
-SHARD_BITS = 16
-TABLES = 40
+RADIUS = 24
+PAIR_RADIUS = 32
+#: Two fingerprints that differ in so many bits of the first half meet with this probability.
+MEETING_DISTANCE, MEETING = 20, 0.93
+LEAST_BITS = 16
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 _N = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -87,6 +91,13 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(picked, run, _FP_SCHEMA)
 
 
+def shards_for(n: int) -> tuple[int, int]:
+    """(tables, shard_bits) for n nodes."""
+    bits = min(56, max(LEAST_BITS, n.bit_length() - 4))
+    meet = (1 - MEETING_DISTANCE / 128) ** bits
+    return math.ceil(math.log(1 - MEETING) / math.log(1 - meet)), bits
+
+
 def sampled_bits(tables: int, shard_bits: int, seed: int = 5) -> list[list[int]]:
     rng = np.random.default_rng(seed)
     return [sorted(map(int, rng.permutation(128)[:shard_bits])) for _ in range(tables)]
@@ -231,9 +242,7 @@ def components(edges: DataFrame) -> DataFrame:
         state = seen
 
 
-def groups(
-    docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS, tables: int = TABLES, shard_bits: int = SHARD_BITS
-) -> DataFrame:
+def groups(docs: DataFrame, radius: int = RADIUS, pair_radius: int = PAIR_RADIUS) -> DataFrame:
     """(doc_id, group_id, group_size) of every document that has a near or exact copy.
 
     group_id is the smallest doc_id of the group and group_size counts distinct
@@ -245,7 +254,7 @@ def groups(
     fps = written(fingerprints(docs), "fingerprints")
     nodes = written(fps.groupBy("a", "b", "c", "d").agg(F.min("doc_id").alias("rep")), "nodes")
     same = fps.join(nodes, ["a", "b", "c", "d"]).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
-    links = components(near_edges(nodes, radius, pair_radius, tables, shard_bits).unionByName(same.distinct()))
+    links = components(near_edges(nodes, radius, pair_radius, *shards_for(nodes.count())).unionByName(same.distinct()))
     members = links.select(F.col("u").alias("doc_id"), F.col("v").alias("group_id"))
     whole = members.unionByName(members.select(F.col("group_id").alias("doc_id"), "group_id").distinct())
     size = members.groupBy("group_id").agg((F.count("*") + 1).alias("group_size"))
@@ -269,5 +278,6 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     if twice.isEmpty():
         return kept
     marked = kept.join(sized_broadcast(twice, 16), kept["doc_id"] == F.col("__twice"), "left")
-    one = marked.filter("__twice is not null").dropDuplicates(["doc_id"])
+    first = W.partitionBy("doc_id").orderBy("text", F.xxhash64(*[c for c, kind in docs.dtypes if "map" not in kind]))
+    one = marked.filter("__twice is not null").withColumn("__nth", F.row_number().over(first)).filter("__nth = 1").drop("__nth")
     return marked.filter("__twice is null").unionByName(one).drop("__twice")
