@@ -1,0 +1,138 @@
+import itertools
+import random
+
+import numpy as np
+import pytest
+
+from hashloom.llm import pii
+from llm_data import awkward, documents, prose
+
+
+@pytest.fixture(scope="module")
+def model():
+    return pii.train()
+
+
+def exact(unary, chain_edges, skip, chain_pot, skip_pot):
+    n, k = unary.shape
+    p = np.zeros((n, k))
+    for y in itertools.product(range(k), repeat=n):
+        w = np.prod([unary[i, y[i]] for i in range(n)])
+        for a, b in chain_edges:
+            w *= chain_pot[y[a], y[b]]
+        for a, b in skip:
+            w *= skip_pot[y[a], y[b]]
+        for i in range(n):
+            p[i, y[i]] += w
+    return p / p.sum(axis=1, keepdims=True)
+
+
+def test_messages_are_exact_on_trees():
+    rng = np.random.default_rng(1)
+    for chain, skip in (([(0, 1), (1, 2), (2, 3)], []), ([(0, 1), (2, 3)], [(0, 2)]), ([], [(0, 3)]), ([(0, 1)], [(1, 2), (1, 3)])):
+        u = rng.random((4, 3)) + 0.05
+        c, s = rng.random((3, 3)) + 0.1, np.exp(1.2 * np.eye(3))
+        assert np.allclose(pii.marginals(u, chain, skip, c, s), exact(u, chain, skip, c, s), atol=1e-6)
+
+
+def test_messages_on_a_loop_are_near():
+    rng = np.random.default_rng(2)
+    u = rng.random((4, 3)) + 0.2
+    chain, skip = [(0, 1), (1, 2), (2, 3)], [(0, 3)]
+    c, s = np.exp(0.3 * rng.random((3, 3))), np.exp(0.5 * np.eye(3))
+    assert np.abs(pii.marginals(u, chain, skip, c, s) - exact(u, chain, skip, c, s)).max() < 0.03
+
+
+def test_a_skip_edge_carries_a_label_far_away(model):
+    """One unclear token alone is background; a distant clear copy decides it."""
+    k = len(pii.LABELS)
+    u = np.full((2, k), 0.01)
+    u[0, 1] = 1.0
+    u[1, 0], u[1, 1] = 0.55, 0.45
+    pot = np.exp(model.skip * np.eye(k))
+    assert pii.marginals(u, [], [], np.ones((k, k)), pot)[1].argmax() == 0
+    assert model.skip > 0 and pii.marginals(u, [], [(0, 1)], np.ones((k, k)), pot)[1].argmax() == 1
+
+
+def card(rng):
+    while True:
+        d = "4" + "".join(rng.choice("0123456789") for _ in range(15))
+        if pii.luhn(d):
+            return d
+
+
+def corpus():
+    rng = random.Random(13)
+    make = {
+        "EMAIL": lambda: f"{prose(rng, 1)}.{prose(rng, 1)}@mail{rng.randint(1, 9)}.example.org",
+        "PHONE": lambda: f"+{rng.randint(1, 99)} ({rng.randint(200, 999)}) {rng.randint(200, 999)}-{rng.randint(1000, 9999)}",
+        "CARD": lambda: card(rng),
+        "IP": lambda: ".".join(str(rng.randint(1, 254)) for _ in range(4)),
+        "SECRET": lambda: 'token = "' + "".join(rng.choice("0123456789abcdef") for _ in range(40)) + '"',
+    }
+    rows, planted = [], []
+    for i in range(200):
+        text = prose(rng, rng.randint(5, 60)) + ". "
+        if i % 2:
+            label = list(make)[i // 2 % 5]
+            value = make[label]()
+            for _ in range(rng.choice([1, 1, 2])):
+                core = value.split('"')[1] if label == "SECRET" else value
+                start = len(text) + value.index(core)
+                planted.append((i, start, start + len(core), label))
+                text += f"{value}{rng.choice(['', ',', '.'])} {prose(rng, rng.randint(3, 30))} "
+        else:
+            text += rng.choice(["3.14", "1999", "(2)", "v2", "12%", "999.400.1.2", "4111111111111112", "2020-11-20"]) + " " + prose(rng, 4)
+        rows.append((i, text))
+    return rows, planted
+
+
+def test_planted_entities(spark, model):
+    rows, planted = corpus()
+    got = [(r.doc_id, r.start_char, r.end_char, r.label) for r in pii.find_entities(documents(spark, rows), model).collect()]
+    assert len(set(got) & set(planted)) >= 0.97 * len(planted)
+    assert len(set(got) - set(planted)) <= 0.03 * len(planted)
+
+
+def test_redaction(spark, model):
+    rows, planted = corpus()
+    docs = documents(spark, rows, clashing=True)
+    out = pii.redact(docs, model)
+    assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+    text, new = dict(rows), {r.doc_id: (r.text, r.n_chars) for r in out.collect()}
+    assert len(new) == len(rows)
+    assert all(n == len(t) for t, n in new.values())
+    gone = sum(text[i][a:b] not in new[i][0] for i, a, b, _ in planted)
+    assert gone >= 0.97 * len(planted)
+    clean = {i for i, _ in rows} - {i for i, *_ in planted}
+    assert sum(new[i][0] == text[i] for i in clean) >= 0.97 * len(clean)
+
+
+def test_skip_edges_against_all_pairs():
+    cores = ["a@b.c", "1", "a@b.c", "22", "a@b.c", "1"]
+    assert set(pii.skip_edges(cores)) >= {(0, 2), (2, 4), (1, 5)}
+    rng = random.Random(14)
+    cores = [rng.choice("123") * rng.randint(1, 3) for _ in range(60)]
+    near = lambda a, b: a == b or (pii.shape_of(a), a[:8]) == (pii.shape_of(b), b[:8])
+    parent = list(range(60))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in pii.skip_edges(cores):
+        parent[root(a)] = root(b)
+    assert all(root(a) == root(b) for a in range(60) for b in range(60) if near(cores[a], cores[b]))
+
+
+def test_awkward_rows(spark, model):
+    mail = "write to jo.doe@mail.example.org today"
+    rows = [*awkward(), (None, mail), (20, mail), (20, mail), (21, " ".join([mail] * 3000))]
+    docs = documents(spark, rows, clashing=True)
+    got = pii.find_entities(docs, model).collect()
+    assert len(got) == 3 + 3000 and {r.label for r in got} == {"EMAIL"}
+    out = pii.redact(docs, model).collect()
+    assert len(out) == len(rows)
+    assert sorted(str(r.text) for r in out if r.doc_id in (1, 2, 3)) == sorted([str(None), "", " \n\t "])
+    assert pii.find_entities(documents(spark, []), model).count() == 0 and pii.redact(documents(spark, []), model).count() == 0
