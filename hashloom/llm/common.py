@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -102,12 +103,8 @@ def sample_texts(
         .agg(F.min("mark").alias("mark"), F.max("mark").alias("other"))
         .filter("mark = other")
     )
-    rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    parts = [clear.filter(F.col("mark") == F.lit(c)).orderBy(rank, "doc_id").limit(per_class) for c in classes]
-    ids = parts[0]
-    for p in parts[1:]:
-        ids = ids.unionByName(p)
-    chosen = {r.doc_id: r.mark for r in ids.collect()}
+    best = W.partitionBy("mark").orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id")
+    chosen = {r.doc_id: r.mark for r in clear.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= per_class).collect()}
     out: dict = {c: [] for c in classes}
     if not chosen:
         return out
