@@ -32,6 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}"
     if path not in _swept:
         _swept.add(path)
+        # What is written there needs the shuffle files that made it no longer.
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
         atexit.register(_sweep, spark, path)
     return path
 

@@ -104,8 +104,9 @@ def _signatures(docs: DataFrame, min_words: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id bigint, n bigint, t1 bigint, t2 bigint, anchors array<bigint>")
 
 
-def _edges(docs: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
-    """(doc_id, at, e1, e2, src, dst): the runs whose anchor several texts have."""
+def _runs(docs: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, at, nodes): stretches of edges whose anchor several texts have, as the
+    nodes that they pass; edge number i goes from node i to node i + 1 and stands at at + i."""
     k = min_words - WINDOW + 1
 
     def run(batches):
@@ -113,27 +114,38 @@ def _edges(docs: DataFrame, shared: DataFrame, min_words: int) -> DataFrame:
             flat, offsets = split_words(b.column(1))
             ids, lists = b.column(0).to_pylist(), b.column(2)
             h = word_hashes(flat)
-            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            rows = []
             for r, (lo, hi) in enumerate(zip(offsets.tolist(), offsets[1:].tolist())):
                 if hi - lo < min_words:
                     continue
                 runs = Runs(h[:, lo:hi])
                 known = np.asarray(lists[r].values.to_numpy(), np.int64).astype(np.uint64)
                 at = np.flatnonzero(np.isin(smallest(runs.of(k, 0), WINDOW), known))
-                node = runs.of(min_words - 1, 0)
-                for c, v in zip(out, (np.full(len(at), ids[r]), at, runs.of(min_words, 0)[at], runs.of(min_words, 1)[at], node[at], node[at + 1])):
-                    c.append(v.astype(np.int64))
-            arrays = [pa.array(np.concatenate(c) if c else np.zeros(0, np.int64)) for c in out]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "at", "e1", "e2", "src", "dst"])
+                node = runs.of(min_words - 1, 0).astype(np.int64)
+                for part in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                    if len(part):
+                        rows.append((ids[r], int(part[0]), node[part[0] : part[-1] + 2]))
+            cols = list(zip(*rows)) if rows else [[], [], []]
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "at", "nodes"])
 
     ids = shared.select(F.col("doc_id").alias("__id"))
     few = docs.join(sized_broadcast(ids, 16), docs["doc_id"] == F.col("__id"), "left_semi")
-    return map_arrow(few.join(shared, "doc_id").select("doc_id", "text", "hashes"), run, "doc_id bigint, at bigint, e1 bigint, e2 bigint, src bigint, dst bigint")
+    return map_arrow(few.join(shared, "doc_id").select("doc_id", "text", "hashes"), run, "doc_id bigint, at bigint, nodes array<bigint>")
+
+
+def _edges(runs: DataFrame) -> DataFrame:
+    """(doc_id, at, src, dst) of each edge of each run.  The two nodes, which are hashes of
+    49 words each, name the 50 words together."""
+    n = F.size("nodes") - 1
+    pairs = F.zip_with(F.slice("nodes", F.lit(1), n), F.slice("nodes", F.lit(2), n), lambda s, d: F.struct(s.alias("src"), d.alias("dst")))
+    each = runs.select("doc_id", "at", F.posexplode(pairs).alias("i", "e"))
+    return each.select("doc_id", (F.col("at") + F.col("i")).alias("at"), "e.src", "e.dst")
 
 
 def compact(edges: DataFrame) -> DataFrame:
-    """(e1, e2, least, path) for distinct edges (e1, e2, src, dst, doc, at, least):
-    path is the place (doc, at) of the first edge of the unbranched path an edge is on.
+    """(src, dst, least, path) for distinct edges (src, dst, doc, at): path is the place
+    (doc, at) of the first edge of the unbranched path an edge is on, least is doc.
 
     An edge is named by the first place where it stands.  On a circle without
     branches there is no first edge; its edges keep some place on it.
@@ -153,7 +165,7 @@ def compact(edges: DataFrame) -> DataFrame:
     linked = (
         edges.join(links, ["doc", "at"], "left")
         .withColumn("first", F.last(F.when(~follows, F.col("at")), ignorenulls=True).over(by_doc))
-        .select("e1", "e2", "least", "doc", "at", "first", "before", (~follows).alias("starts"))
+        .select("src", "dst", "doc", "at", "first", "before", (~follows).alias("starts"))
     )
     pieces = written(linked, "pieces")
     # piece -> the piece that its path comes from, in another document or elsewhere in this one
@@ -177,7 +189,7 @@ def compact(edges: DataFrame) -> DataFrame:
     roots = up.select(F.col("p_doc").alias("doc"), F.col("p_at").alias("first"), "u_doc", "u_at")
     out = written(
         pieces.join(roots, ["doc", "first"], "left").select(
-            "e1", "e2", "least", F.struct(F.coalesce("u_doc", "doc").alias("doc"), F.coalesce("u_at", "first").alias("at")).alias("path")
+            "src", "dst", F.col("doc").alias("least"), F.struct(F.coalesce("u_doc", "doc").alias("doc"), F.coalesce("u_at", "first").alias("at")).alias("path")
         ),
         "paths",
     )
@@ -205,17 +217,20 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     anchors = signs.join(own, ["doc_id", "t1", "t2", "n"], "left_semi").select("doc_id", F.explode("anchors").alias("h"))
     several = anchors.groupBy("h").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a <> b").select("h")
     shared = written(anchors.join(several, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hashes")), "shared")
-    edges = written(_edges(picked, shared, min_words).distinct(), "edges")
+    runs = written(_runs(picked, shared, min_words), "runs")
+    forget(shared)
     kept = written(
-        edges.groupBy("e1", "e2")
-        .agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.min(F.struct("doc_id", "at")).alias("p"), F.min("src").alias("src"), F.min("dst").alias("dst"))
-        .filter("least <> most")
-        .select("e1", "e2", "src", "dst", F.col("p.doc_id").alias("doc"), F.col("p.at").alias("at"), "least"),
+        _edges(runs)
+        .groupBy("src", "dst")
+        .agg(F.min(F.struct("doc_id", "at")).alias("p"), F.max("doc_id").alias("most"))
+        .filter("p.doc_id <> most")
+        .select("src", "dst", F.col("p.doc_id").alias("doc"), F.col("p.at").alias("at")),
         "kept",
     )
     paths = compact(kept)
+    forget(kept)
     by_doc = W.partitionBy("doc_id").orderBy("at")
-    places = edges.select("doc_id", "at", "e1", "e2").join(paths, ["e1", "e2"])
+    places = _edges(runs).join(paths, ["src", "dst"]).drop("src", "dst")
     # where one path is followed word by word
     step = places.withColumn("new", (F.coalesce(F.lag("at").over(by_doc) != F.col("at") - 1, F.lit(True)) | F.coalesce(F.lag("path").over(by_doc) != F.col("path"), F.lit(True))).cast("int"))
     numbered = step.withColumn("part", F.sum("new").over(by_doc))
@@ -240,7 +255,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     part = spans.join(copied.select(F.col("rep").alias("doc_id")), "doc_id", "left_anti")
     out = written(part.select("doc_id", "start_word", "end_word", "first_doc_id").unionByName(full), "repeats")
-    forget(signs, reps, shared, edges, kept, paths, spans)
+    forget(signs, reps, runs, paths, spans)
     return out
 
 
