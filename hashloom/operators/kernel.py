@@ -28,6 +28,15 @@ def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, room: int
     return out, first
 
 
+def slices(batches, most: int = 4 << 20):
+    """The rows of the batches in batches of about `most` bytes, or of one longer row, so that
+    working memory stays small where strings are long."""
+    for b in batches:
+        rows = max(1, b.num_rows * most // max(1, b.nbytes))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def _flat(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     buffer = np.frombuffer(b"".join(data), np.uint8)
     return buffer, np.concatenate([[0], np.cumsum([len(d) for d in data])]).astype(np.int64)

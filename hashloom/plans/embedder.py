@@ -15,7 +15,7 @@ from ..functions import preprocess as P
 from ..functions import vectors as V
 from ..functions.hashing import feature_hash, let, mask_of
 from ..operators import longform as L
-from ..operators.kernel import VECTOR_TYPE, Kernel
+from ..operators.kernel import Kernel, slices
 from ..session import ship_package
 
 #: IDF weights are broadcast up to this size; beyond it they are joined.
@@ -65,9 +65,10 @@ class Embedder:
             raise ValueError("tfidf needs weights: call fit, or give idf")
         rows = self.idf.count()
         if self.engine == "arrow" and rows * 12 <= BROADCAST_BYTES:
-            w = sorted((r.dim & ((1 << 64) - 1), r.idf) for r in self.idf.collect())
-            pairs = (np.array([d for d, _ in w], np.uint64), np.array([x for _, x in w], np.float32))
-            return self._arrow(df, column, out, keep, idf=pairs)
+            w = self.idf.select("dim", "idf").toArrow()
+            dim, weight = (w.column(k).combine_chunks().to_numpy(zero_copy_only=False) for k in (0, 1))
+            order = np.argsort(dim.view(np.uint64))
+            return self._arrow(df, column, out, keep, idf=(dim.view(np.uint64)[order], weight[order].astype(np.float32)))
         return self._joined_tfidf(df, column, out, keep)
 
     def _joined_tfidf(self, df: DataFrame, column: str, out: str, keep: list[str]) -> DataFrame:
@@ -98,9 +99,8 @@ class Embedder:
         picked = df.select(F.col(column).cast("binary").alias("__data"), *[F.col(k).alias(n) for k, n in zip(keep, names)])
 
         def run(batches):
-            for b in batches:
-                vec = kernel.vectors(b.column(0).to_pylist()) if b.num_rows else pa.array([], VECTOR_TYPE)
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], vec], names=[*names, "__vec"])
+            for b in slices(batches):
+                yield pa.RecordBatch.from_arrays([*b.columns[1:], kernel.vectors(b.column(0).to_pylist())], names=[*names, "__vec"])
 
         fields = ", ".join(f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in names)
         done = picked.mapInArrow(run, f"{fields + ', ' if fields else ''}`__vec` {V.VECTOR}")
@@ -157,9 +157,9 @@ class Embedder:
         kernel = self._kernel()
 
         def run(batches):
-            for b in batches:
+            for b in slices(batches):
                 ids = b.column(0).to_pylist()
-                out, last, at = [], None, 0
+                out, at = [], 0
                 for row, dim, feat in kernel.named(b.column(1).to_pylist()):
                     out.append((ids[row], at, dim, feat))
                     at += 1

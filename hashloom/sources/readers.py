@@ -39,13 +39,18 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.join(F.broadcast(starts), ["path", "block"]).select("path", "block", (F.col("__before") + F.col("__m") - F.col("__first")).alias("line"), "value")
 
 
-def _unterminated(spark: SparkSession, path: str) -> list[str]:
-    """The plain files under path whose last byte isn't a line feed."""
-    jvm, out = spark.sparkContext._jvm, []
-    root = jvm.org.apache.hadoop.fs.Path(path)
+def _listed(spark: SparkSession, path: str):
+    """The file system of path, and the status of what it names or of what stands directly there."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     found = fs.globStatus(root) or []
-    files = [s for f in found for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    return fs, [s for f in found for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f])]
+
+
+def _unterminated(spark: SparkSession, path: str) -> list[str]:
+    """The plain files under path whose last byte isn't a line feed."""
+    out = []
+    fs, files = _listed(spark, path)
     for f in files:
         if f.isFile() and f.getLen():
             stream = fs.open(f.getPath())
@@ -99,6 +104,12 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
 
 
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the empty files directly in a folder, which Spark's reader leaves out."""
+    found = [f.getPath() for f in _listed(spark, path)[1] if f.isFile() and not f.getLen()]
+    return spark.createDataFrame([(p.toString(), bytearray()) for p in found if p.getName()[0] not in "._"], "path string, content binary")
+
+
 def _ordered(df: DataFrame, *by: str) -> DataFrame:
     """row_id by the order of small columns only; the data is joined by its place."""
     return df.withColumn("row_id", F.row_number().over(W.orderBy(*by)) - 1)
@@ -110,7 +121,7 @@ def directory(spark: SparkSession, path: str, config: Config = Config()) -> Data
     parent = F.regexp_replace("path", "/[^/]*$", "")
     files = _files(spark, path).withColumn("__depth", F.length(parent) - F.length(F.regexp_replace(parent, "/", "")))
     top = files.agg(F.min("__depth").alias("__top"))
-    files = files.join(F.broadcast(top), F.col("__depth") == F.col("__top"))
+    files = files.join(F.broadcast(top), F.col("__depth") == F.col("__top")).select("path", "content").unionByName(_empty_files(spark, path))
     names = _ordered(files.select("path", F.regexp_extract("path", "([^/]*)$", 1).alias("src")), "src", "path")
     rows = names.join(files.select("path", "content"), "path")
     return rows.select(F.col("row_id").cast("bigint").alias("row_id"), "src", suffix_label(F.col("src")).alias("label"), F.col("content").alias("data"))
