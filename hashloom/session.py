@@ -1,7 +1,9 @@
-"""What a Spark session needs before this package's Python code runs on executors."""
+"""What this package needs of a Spark session: a shared folder, and its code on the executors."""
 
 from __future__ import annotations
 
+import atexit
+import io
 import tempfile
 import zipfile
 from pathlib import Path
@@ -9,6 +11,37 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+_swept: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    fs, where = _file_system(spark, path)
+    fs.delete(where, True)
+
+
+def _sweep(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is not None:
+        drop_table(spark, path)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """This application's folder under spark.checkpoint.dir, which all executors
+    share; it is emptied when the driver ends.  Where the setting is missing (tests), a
+    temporary folder is used."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="hashloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}"
+    if path not in _swept:
+        _swept.add(path)
+        atexit.register(_sweep, spark, path)
+    return path
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -18,20 +51,14 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    # The driver's file server reads it whenever an executor joins, so it lasts as long as the driver.
-    archive = Path(tempfile.mkdtemp(prefix="hashloom-code-")) / "hashloom_source.zip"
-    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_DEFLATED) as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    context.addPyFile(str(archive))
+    archive = f"{shared_dir(spark)}/hashloom_source.zip"
+    fs, where = _file_system(spark, archive)
+    out = fs.create(where, True)
+    out.write(raw.getvalue())
+    out.close()
+    context.addPyFile(archive)
     _shipped.add(context.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir, which all executors
-    share.  Where the setting is missing (tests), a temporary folder is used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="hashloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}"
