@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import tempfile
 import uuid
 
 import numpy as np
@@ -14,39 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from .. import session
+from ..session import drop_table, ship_package
 
-DOCUMENT_COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A side is broadcast only up to this many bytes; beyond it the join shuffles.
 BROADCAST_BYTES = 32 << 20
-_swept: set[str] = set()
+SLICE_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """This application's folder under spark.checkpoint.dir, which all executors
-    share.  Where the setting is missing (tests), a temporary folder is used."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="hashloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/hashloom-{spark.sparkContext.applicationId}"
-    if path not in _swept:
-        _swept.add(path)
-        # What is written there needs the shuffle files that made it no longer.
-        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
-        atexit.register(_sweep, spark, path)
-    return path
-
-
-def _sweep(spark: SparkSession, path: str) -> None:
-    if spark.sparkContext._jsc is not None:
-        drop_table(spark, path)
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    """The application's folder; what is written there needs the shuffle files that made it
+    no longer, so Spark drops them as soon as their job ends."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return session.shared_dir(spark)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
@@ -71,10 +49,19 @@ def sized_broadcast(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES)
     return F.broadcast(df) if df.count() * row_bytes <= limit else df
 
 
+def slices(batches):
+    """The rows of the batches in batches of about SLICE_BYTES, or of one longer row."""
+    for b in batches:
+        rows = max(1, b.num_rows * SLICE_BYTES // max(1, b.nbytes))
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """mapInArrow with this package's code at hand on the executors."""
+    """mapInArrow with this package's code at hand on the executors, and in batches whose
+    working memory stays small where texts are long."""
     ship_package(df.sparkSession)
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: run(slices(batches)), schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
