@@ -5,6 +5,11 @@ A reference keeps its position, address, alternative text or caption, and the SH
 digest of its payload where the page tells it: of a data URI's bytes, from an
 integrity attribute, or a digest that is part of the address.  Digests are joined with a table of
 payloads; only pages with a digest take part in that shuffle, and of them only the references.
+
+Left out are: script, style and title, and templates, which are inert; the text (not the media) of
+nav, footer and aside, of noscript, of svg, and of video and audio (it is for readers without
+them).  An element counts as one of these only if its own end tag closes it: where
+the end of an enclosing block or of the page does, that tag was forgotten, and its text stays.
 """
 
 from __future__ import annotations
@@ -13,7 +18,9 @@ import base64
 import binascii
 import hashlib
 import re
+from collections import Counter
 from html.parser import HTMLParser
+from typing import NamedTuple
 from urllib.parse import unquote_to_bytes, urljoin
 
 import pyarrow as pa
@@ -26,12 +33,17 @@ PART = "struct<position:int,kind:string,text:string,url:string,digest:string,cap
 SEQUENCE = f"page_key binary, page_id bigint, url string, parts array<{PART}>"
 RESULT_PART = "struct<position:int,kind:string,text:string,url:string,digest:string,caption:string,mime:string,payload_bytes:bigint,resolved:boolean>"
 _KINDS = {"img": "image", "image": "image", "video": "video", "audio": "audio", "iframe": "embed", "embed": "embed", "object": "embed"}
-_SILENT = {"script", "style", "noscript", "template", "head", "nav", "footer", "aside", "svg"}
+_RAW = {"script", "style"}
+_FURNITURE = {"nav", "footer", "aside"}
+_QUIET = {*_FURNITURE, "noscript", "template", "title", "svg", "video", "audio"}
 _BREAKS = {
     *("p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "td", "th", "table", "section", "article"),
     *("blockquote", "pre", "hr", "figure", "figcaption", "header", "main", "dl", "dt", "dd", "body", "html", "form"),
 }
 _VOID = {"img", "image", "br", "hr", "embed", "source", "track", "meta", "link", "input", "wbr", "area", "base", "col"}
+_EMPTY = {"template", "title"}  # of _QUIET, those without elements of the page
+_TRACKED = (_BREAKS - _VOID) | _QUIET
+_END_P = (_BREAKS | _FURNITURE) - {"br"}
 _BLANK = re.compile(r"\s+")
 _HEX64 = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64}(?![0-9a-fA-F])")
 
@@ -67,6 +79,17 @@ def digest_of(url: str, attrs: dict) -> str | None:
     return m.group().lower() if m else None
 
 
+class _Open(NamedTuple):
+    """An open element, and what there was before it."""
+
+    tag: str
+    parts: int
+    figures: int
+    in_caption: int
+    said: int  # pieces of the caption it stands in
+    media: dict | None  # the part of a video or audio
+
+
 class _Reader(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
@@ -74,10 +97,12 @@ class _Reader(HTMLParser):
         self.parts: list[dict] = []
         self.payloads: dict[str, tuple[str, bytes]] = {}
         self.buffer: list[str] = []
-        self.silent: list[str] = []
+        self.raw: str | None = None
         self.figures: list[tuple[int, list[str]]] = []  # first part of it, caption
         self.in_caption = 0
-        self.open_media: list[tuple[str, int]] = []
+        self.open: list[_Open] = []
+        self.count: Counter[str] = Counter()  # of the tags in open
+        self.gone: set[int] = set()  # numbers of parts that are left out
 
     def flush(self) -> None:
         text = _BLANK.sub(" ", "".join(self.buffer)).strip()
@@ -86,7 +111,7 @@ class _Reader(HTMLParser):
             self.parts.append({"kind": "text", "text": text, "url": None, "digest": None, "caption": None})
 
     def refer(self, kind: str, attrs: dict) -> None:
-        url = (attrs.get("src") or attrs.get("data") or attrs.get("data-src") or attrs.get("href") or "").strip()
+        url = (attrs.get("src") or attrs.get("data") or attrs.get("data-src") or attrs.get("href") or attrs.get("xlink:href") or "").strip()
         self.flush()
         if url[:5].lower() == "data:":
             digest, shown = digest_of(url, attrs), None
@@ -101,52 +126,78 @@ class _Reader(HTMLParser):
         said = _BLANK.sub(" ", attrs.get("alt") or attrs.get("title") or "").strip() or None
         self.parts.append({"kind": kind, "text": None, "url": shown, "digest": digest, "caption": said})
 
-    def handle_starttag(self, tag, attrs):
-        if self.silent:
-            if tag == self.silent[-1] and tag not in _VOID:
-                self.silent.append(tag)
+    def enter(self, tag: str, media: dict | None = None) -> None:
+        said = len(self.figures[-1][1]) if self.figures else 0
+        self.open.append(_Open(tag, len(self.parts), len(self.figures), self.in_caption, said, media))
+        self.count[tag] += 1
+
+    def leave(self, tag: str) -> None:
+        """Closes the innermost open element of that tag and all within it."""
+        if not self.count[tag]:
             return
-        if tag in _SILENT:
+        while True:
+            o = self.open.pop()
+            self.count[o.tag] -= 1
+            if o.tag in _QUIET:
+                self.flush()
+                while len(self.figures) > o.figures:
+                    self.close_figure()
+                self.in_caption = o.in_caption
+                if o.tag == tag:
+                    self.gone.update(k for k in range(o.parts, len(self.parts)) if tag in _EMPTY or self.parts[k]["kind"] == "text")
+                    if self.in_caption and self.figures:
+                        del self.figures[-1][1][o.said :]
+            if o.tag == tag:
+                return
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _RAW:
             self.flush()
-            self.silent.append(tag)
+            self.raw = tag
             return
         known = dict(attrs)
+        if tag in _END_P and self.open and self.open[-1].tag == "p":
+            self.leave("p")
         if tag in _KINDS:
             self.refer(_KINDS[tag], known)
-            if tag in ("video", "audio"):
-                self.open_media.append((tag, len(self.parts) - 1))
-        elif tag == "source" and self.open_media and known.get("src"):
-            part = self.parts[self.open_media[-1][1]]
-            if part["url"] is None and part["digest"] is None:
+            if tag in _QUIET:
+                self.enter(tag, self.parts[-1])
+        elif tag == "source" and known.get("src"):
+            part = next((o.media for o in reversed(self.open) if o.media), None) if self.count["video"] or self.count["audio"] else None
+            if part and part["url"] is None and part["digest"] is None:
                 self.refer(part["kind"], known)
                 new = self.parts.pop()
                 part.update(url=new["url"], digest=new["digest"])
-        elif tag == "figure":
-            self.flush()
-            self.figures.append((len(self.parts), []))
-        elif tag == "figcaption" and self.figures:
-            self.flush()
-            self.in_caption += 1
-        elif tag in _BREAKS:
-            self.flush()
+        else:
+            if tag in _BREAKS or tag in _QUIET:
+                self.flush()
+            if tag in _TRACKED:
+                self.enter(tag)
+            if tag == "figure":
+                self.figures.append((len(self.parts), []))
+            elif tag == "figcaption" and self.figures:
+                self.in_caption += 1
 
     def handle_endtag(self, tag):
-        if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            elif tag in ("body", "html"):
-                self.silent.clear()
+        if tag in _RAW:
+            self.raw = None
             return
+        if tag in _BREAKS:
+            self.flush()
         if tag == "figcaption" and self.in_caption:
             self.in_caption -= 1
         elif tag == "figure" and self.figures:
-            self.flush()
             self.close_figure()
-        elif tag in ("video", "audio") and self.open_media and self.open_media[-1][0] == tag:
-            self.buffer.clear()  # what stands between is for readers without media
-            self.open_media.pop()
-        elif tag in _BREAKS:
-            self.flush()
+        if tag in ("body", "html"):
+            self.end()
+        elif tag in _TRACKED:
+            self.leave(tag)
+
+    def end(self) -> None:
+        """Closes what is open; what has no end tag keeps its text."""
+        self.flush()
+        self.open.clear()
+        self.count.clear()
 
     def close_figure(self) -> None:
         start, said = self.figures.pop()
@@ -159,7 +210,7 @@ class _Reader(HTMLParser):
                 self.parts.append({"kind": "text", "text": caption, "url": None, "digest": None, "caption": None})
 
     def handle_data(self, data):
-        if self.silent or self.open_media:
+        if self.raw:
             return
         if self.in_caption and self.figures:
             self.figures[-1][1].append(data)
@@ -171,7 +222,7 @@ class _Reader(HTMLParser):
         self.flush()
         while self.figures:
             self.close_figure()
-        return [{"position": k, **p} for k, p in enumerate(self.parts)]
+        return [{"position": k, **p} for k, p in enumerate(p for n, p in enumerate(self.parts) if n not in self.gone)]
 
 
 def read_page(html: str, base: str = "") -> tuple[list[dict], dict[str, tuple[str, bytes]]]:

@@ -88,3 +88,28 @@ def test_awkward_rows(spark):
     assert len(out) == len(rows)
     assert sorted(len(r.parts) for r in out) == [0, 0, 0, 0, 1, 9, 9, 9, 50_000]
     assert media.interleave(pages(spark, [])).count() == 0
+
+
+def shown(html):
+    return [p["text"] or p["url"] for p in media.read_page(html)[0]]
+
+
+def test_forgotten_end_tags_lose_nothing():
+    assert shown("<!DOCTYPE html><html><head><title>no</title><style>x</style><body><p>one</body>") == ["one"]
+    assert shown("<title>no <img src=no></title><meta charset=utf-8><p>one<p>two") == ["one", "two"]
+    assert shown("<head><title>no</title><p>one<img src=a>") == ["one", "a"]
+    for tag in ("nav", "footer", "aside", "noscript", "template", "svg", "video", "audio"):
+        assert [x for x in shown(f"<body><div><{tag}><p>one</p></div><p>two <img src=a></p></body>") if x] == ["one", "two", "a"]
+        assert [x for x in shown(f"<p>zero</p><{tag}><p>one</p><img src=a><p>two") if x] == ["zero", "one", "a", "two"]
+        assert [x for x in shown(f"<{tag}>no</{tag}><p>one<{tag}>two</body></html>") if x] == ["one", "two"]
+    assert shown("<video src=v><audio src=a>no</video><p>one") == ["v", "a", "one"]
+    assert shown("<video src=v><p>one</p><video><source src=w>no</video><p>two") == ["v", "one", "w", "two"]
+    assert shown("<nav><aside>no</nav><p>one") == ["one"]
+
+
+def test_media_of_elements_without_text():
+    for tag in ("nav", "footer", "aside", "noscript"):
+        assert shown(f"<p>one</p><{tag}>no <figure><img src=a><figcaption>no</figcaption></figure> no</{tag}>two") == ["one", "a", "two"]
+    assert shown("<svg><title>no</title><image xlink:href=a /><text>no</text></svg><template>no<img src=b></template><script>no</script>") == ["a"]
+    (p,) = media.read_page("<figure><img src=a><figcaption>said<svg><title>no</title></svg> <script>no</script>here<aside>no</aside></figcaption></figure>")[0]
+    assert p["caption"] == "said here"
