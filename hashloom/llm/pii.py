@@ -1,14 +1,16 @@
 """Personal data by a skip-chain conditional random field.
 
-Tokens are runs of non-blanks.  A token without an ASCII digit or '@' is observed as
-background: it is outside every entity and cuts the chain.  The others are nodes
-with labels.  Potentials:
+Runs of non-blanks are split into tokens at brackets, quotes, colons, commas, equals signs and
+the like, and around an address that stands within a longer token.  A token without an ASCII
+digit or '@' is observed as background: it is outside every entity and cuts the chain.  The others
+are nodes with labels; a card or phone number in groups is several of them.  Potentials:
 
-* node: multinomial logistic weights on the token's shape and its neighbours;
+* node: multinomial logistic weights on the token's shape, its neighbours and the number
+  whose group it may be;
 * chain: between adjacent nodes, from label pairs counted in training;
 * skip: between a node and the next one in the same document with the same core
-  (the token without outer punctuation), however far away, or the next with the
-  same shape and the same eight leading characters; it rewards equal labels.
+  (the token without outer punctuation; the whole number of a grouped card), however far away,
+  or the next with the same shape and the same eight leading characters; it rewards equal labels.
 
 Loopy sum-product message passing over the whole document gives the marginals; a
 node takes the label with the largest one.  The three kinds of potential are trained
@@ -39,6 +41,15 @@ _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _HEX = re.compile(r"[0-9a-fA-F]{24,}")
 _OPAQUE = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9_+/-]{24,}={0,2}")
 _KEYWORDS = {"token", "secret", "key", "password", "passwd", "apikey", "api_key", "auth", "credential", "bearer"}
+_CALL = {"phone", "tel", "telephone", "mobile", "cell", "call", "fax", "telefon", "tél"}
+_DELIMITERS = r"\s,;:=\"'`<>()\[\]{}|?!&#*$\\"
+#: The area code keeps its brackets, and base64 its slashes.
+_PIECE = re.compile(rf"\(\d{{2,5}}\)|[^{_DELIMITERS}]+")
+_WORD = re.compile(rf"[^{_DELIMITERS}/]+")
+_WITHIN = re.compile(rf"{_EMAIL.pattern}|(?<![\w.]){_IP.pattern}(?![\w]|\.\d)")
+_LIST = set(",;|/")  # between two numbers
+#: How many digits the groups of a card number have.
+_CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
 _CARD_FIRST = "3456"
 
 
@@ -62,10 +73,75 @@ def shape_of(core: str) -> str:
     return re.sub(r"(.)\1{2,}", r"\1\1+", s)[:24]
 
 
-def node_features(core: str, before: tuple[str, str], neighbours: tuple[str, str]) -> list[str]:
-    """Features of a node; before: the two tokens that precede it in the text;
-    neighbours: the cores of the adjacent nodes in the chain ('' for background)."""
+def pieces(run: str) -> list[tuple[int, str]]:
+    """(start, token) of the tokens of a run of non-blanks, without outer punctuation."""
+    out: list[tuple[int, str]] = []
+
+    def add(at: int, token: str) -> None:
+        lead, core = core_of(token)
+        if core:
+            out.append((at + lead, core))
+
+    for m in _PIECE.finditer(run):
+        token, at = m.group(), m.start()
+        core = core_of(token)[1]
+        if _EMAIL.fullmatch(core) or _IP.fullmatch(core) or _OPAQUE.fullmatch(core):
+            add(at, token)
+            continue
+        for w in re.finditer("[^/]+", token):
+            last = 0
+            for x in _WITHIN.finditer(w.group()) if "@" in w.group() or w.group().count(".") > 2 else ():
+                add(at + w.start() + last, w.group()[last : x.start()])
+                add(at + w.start() + x.start(), x.group())
+                last = x.end()
+            add(at + w.start() + last, w.group()[last:])
+    return out
+
+
+def number_groups(nodes: list) -> tuple[list[str], list[int]]:
+    """For each node, what kind of number it may be a group of ('' for none), and the first
+    node of that number (its own place for none).  A number's groups stand one blank apart."""
+    n = len(nodes)
+    kind, first = [""] * n, list(range(n))
+    plain = [x[2].isascii() and x[2].isdigit() for x in nodes]
+    k = 0
+    while k < n:
+        end = k + 1
+        while end < n and plain[end] and nodes[end][5] == " ":
+            end += 1
+        got, size = "", 1
+        if plain[k] and end > k + 2:
+            for groups in _CARD_GROUPS:
+                now = nodes[k : k + len(groups)]
+                if k + len(groups) <= end and all(len(x[2]) == g for x, g in zip(now, groups)):
+                    digits = "".join(x[2] for x in now)
+                    valid = "cardgroups" + ("luhn" if luhn(digits) else "") + ("" if digits[0] in _CARD_FIRST else "otherfirst")
+                    if not got or luhn(digits):
+                        got, size = valid, len(groups)
+                    if luhn(digits):
+                        break
+        if not got and plain[k] and end >= k + 3 and [len(x[2]) for x in nodes[k : k + 3]] == [3, 3, 4] and {b.lower() for b in nodes[k][3]} & _CALL:
+            got, size = "phonegroups", 3
+        if not got and re.fullmatch(r"\+\d{1,3}", nodes[k][2]) and end > k + 1:
+            size, total = 1, len(nodes[k][2]) - 1
+            while k + size < end and 2 <= len(nodes[k + size][2]) <= 8 and total + len(nodes[k + size][2]) <= 15:
+                total += len(nodes[k + size][2])
+                size += 1
+            got, size = ("phonegroups", size) if total >= 8 else ("", 1)
+        if got:
+            kind[k : k + size] = [got] * size
+            first[k : k + size] = [k] * size
+        k += size if got else 1
+    return kind, first
+
+
+def node_features(core: str, before: tuple[str, str], neighbours: tuple[str, str], group: str = "") -> list[str]:
+    """Features of a node; before: the two words that precede it in the text;
+    neighbours: the cores of the adjacent nodes in the chain ('' for background);
+    group: what kind of number it may be a group of."""
     f = ["bias"]
+    if group:
+        f.append(group)
     digits = re.sub(r"\D", "", core)
     if _EMAIL.fullmatch(core):
         f.append("email")
@@ -80,8 +156,8 @@ def node_features(core: str, before: tuple[str, str], neighbours: tuple[str, str
             f.append("luhn" if luhn(core) else "notluhn")
             if luhn(core):
                 f.append("cardfirst" if core[0] in _CARD_FIRST else "otherfirst")
-    elif 13 <= len(digits) <= 19 and re.fullmatch(r"\d{4}([ -]\d{4}){2,3}", core):
-        f.append("cardgroups" + ("luhn" if luhn(digits) else ""))
+    elif tuple(map(len, core.split("-"))) in _CARD_GROUPS and digits == core.replace("-", "") and digits.isascii():
+        f.append("cardgroups" + ("luhn" if luhn(digits) else "") + ("" if digits[0] in _CARD_FIRST else "otherfirst"))
     for name, text in (("own", core), ("prev", neighbours[0]), ("next", neighbours[1])):
         if re.fullmatch(r"\+\d{1,3}", text):
             f.append(f"{name}:country")
@@ -89,14 +165,14 @@ def node_features(core: str, before: tuple[str, str], neighbours: tuple[str, str
             f.append(f"{name}:area")
         elif re.fullmatch(r"\d{3}[-.]\d{4}", text):
             f.append(f"{name}:local")
-        elif re.fullmatch(r"(\+?\d{1,3}[-.])?\(?\d{3}\)?[-.]\d{3}[-.]\d{4}", text):
+        elif re.fullmatch(r"(\+?\d{1,3}[-.])?\(?\d{3}\)?[-.]\d{3}[-.]\d{4}|\+\d{8,15}|\+\d{1,3}([-.]\d{2,8}){2,5}", text):
             f.append(f"{name}:phone")
     if _HEX.fullmatch(core):
         f.append("hex")
     elif _OPAQUE.fullmatch(core):
         f.append("opaque")
     words = {b.strip(_EDGE + "()").lower() for b in before}
-    if words & _KEYWORDS:
+    if words & _KEYWORDS or any(_KEYWORDS & set(re.split(r"[_.-]", w)) for w in words):
         f.append("keyword")
         if "hex" in f or "opaque" in f:
             f.append("keyword&opaque")
@@ -126,22 +202,48 @@ class Crf:
         return self._unary[key]
 
 
-def nodes_of(text: str) -> list[tuple[int, int, str, tuple[str, str], bool]]:
-    """(start, end, core, the two tokens before, whether the node before is adjacent)."""
-    out = []
-    last = -1
+def nodes_of(text: str) -> list[tuple[int, int, str, tuple[str, str], bool, str]]:
+    """(start, end, core, the two words before, whether the node before is adjacent, the text
+    between it and this one if so)."""
+    out: list = []
+    last = -1  # the end of the run before
+    ends_in_node = False
     for m in _NODE.finditer(text):
-        lead, core = core_of(m.group())
-        if not core or not re.search(r"[0-9@]", core):
-            lead, core = 0, m.group()
-        head = text[max(0, m.start() - 96) : m.start()].split()[-2:]
-        before = ("", *head)[-2:] if head else ("", "")
-        adjacent = last >= 0 and not text[last : m.start()].strip()
-        out.append((m.start() + lead, m.start() + lead + len(core), core, before, adjacent))
+        found = pieces(m.group()) or [(0, m.group())]
+        near = ends_in_node and not text[last : m.start()].strip()
+        words: list[str] | None = None
+        for at, core in found:
+            start = m.start() + at
+            if re.search(r"[0-9@]", core):
+                if words is None:
+                    head = text[max(0, m.start() - 96) : m.start()]
+                    words = _WORD.findall(head)[-2:] + _WORD.findall(m.group()[:at])
+                out.append((start, start + len(core), core, ("", "", *words)[-2:], near, text[out[-1][1] : start] if near else ""))
+                near = True
+            else:
+                near = False
+            if words is not None:
+                words += _WORD.findall(core)
+        ends_in_node = near
         last = m.end()
     return out
 
 
+def chain_of(nodes: list) -> tuple[list[list[str]], list[str], list[int]]:
+    """The nodes' features, their cores for skip edges, and the first node of each one's number."""
+    cores = [x[2] for x in nodes]
+    joined = [x[4] for x in nodes] + [False]
+    kind, first = number_groups(nodes)
+    features = [
+        node_features(cores[k], nodes[k][3], (cores[k - 1] if joined[k] else "", cores[k + 1] if joined[k + 1] else ""), kind[k])
+        for k in range(len(nodes))
+    ]
+    whole: dict[int, str] = {}
+    for k, c in enumerate(cores):
+        whole[first[k]] = whole.get(first[k], "") + c
+    return features, [whole[first[k]] if kind[k] else c.replace("-", "") if "cardgroupsluhn" in features[k] else c for k, c in enumerate(cores)], first
+
+
 def skip_edges(cores: list[str]) -> list[tuple[int, int]]:
     """Pairs of a node and the next one that is the same or similar: a chain
     through each set of them, so their number stays linear."""
@@ -186,28 +288,25 @@ def marginals(unary: np.ndarray, chain_edges: list, skip: list, chain_pot: np.nd
 
 
 def decode(text: str, model: Crf) -> list[tuple[int, int, str, float]]:
-    """(start, end, label, probability) of each entity; adjacent phone tokens are one."""
+    """(start, end, label, probability) of each entity; adjacent phone tokens are one, and so are a card's groups."""
     nodes = nodes_of(text)
     if not nodes:
         return []
     cores = [x[2] for x in nodes]
     n = len(nodes)
     joined = [x[4] for x in nodes] + [False]
-    unary = np.stack(
-        [
-            model.unary(node_features(cores[k], nodes[k][3], (cores[k - 1] if joined[k] else "", cores[k + 1] if joined[k + 1] else "")))
-            for k in range(n)
-        ]
-    )
+    features, same, first = chain_of(nodes)
+    unary = np.stack([model.unary(f) for f in features])
     skip_pot = np.exp(model.skip * np.eye(len(LABELS)))
-    p = marginals(unary, [(k - 1, k) for k in range(1, n) if joined[k]], skip_edges(cores), np.exp(model.chain), skip_pot)
+    p = marginals(unary, [(k - 1, k) for k in range(1, n) if joined[k]], skip_edges(same), np.exp(model.chain), skip_pot)
     best = p.argmax(axis=1)
     out: list[tuple[int, int, str, float]] = []
     for k in range(n):
         if best[k] == 0:
             continue
         label, prob = LABELS[best[k]], float(p[k, best[k]])
-        if label == "PHONE" and joined[k] and out and out[-1][2] == "PHONE" and k and best[k - 1] == best[k] and not cores[k].startswith("+"):
+        continued = first[k] != k if label == "CARD" else label == "PHONE" and joined[k] and not cores[k].startswith("+") and not set(nodes[k][5]) & _LIST
+        if continued and k and best[k - 1] == best[k]:
             out[-1] = (out[-1][0], nodes[k][1], label, min(out[-1][3], prob))
         else:
             out.append((nodes[k][0], nodes[k][1], label, prob))
@@ -225,8 +324,46 @@ def _generated(rng: random.Random) -> list[tuple[list[str], list[int]]]:
             if luhn(d) == valid:
                 return d
 
+    mail = lambda: f"{word()}{rng.choice(['.', '_', '', '+', '-'])}{rng.choice([word(), digits(2)])}@{word()}.{rng.choice(['com', 'org', 'info', 'ac.uk'])}"
+    address = lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4))
+    grouped = lambda d: [d[:4], d[4:8], d[8:12], d[12:]]
+
+    def secret() -> str:
+        letters = rng.choice(["0123456789abcdef", "0123456789ABCDEFGHKLMNPRSTabcdefghkmnoprstuvwxyz"])
+        return "a1" + "".join(rng.choice(letters) for _ in range(rng.choice([24, 32, 40])))
+
     def item() -> tuple[list[str], list[int]]:
-        k = rng.randrange(14)
+        k = rng.randrange(28)
+        if k == 14:
+            return [rng.choice(["({})", "<{}>", "[{}]", "email:{}", "mail={}", "mailto:{}?x", "'{}'"]).format(mail())], [1]
+        if k == 15:
+            return [f"{mail()}{rng.choice(',;|/')}{mail()}"], [1]
+        if k == 16:
+            return [rng.choice(["({})", "ip={}", "http://{}/", "host:{}", "[{}]"]).format(address())], [4]
+        if k == 17:
+            d = card(True)
+            return [rng.choice(["{}", "({})", "card:{}", "card={}"]).format("-".join(grouped(d)))], [3]
+        if k == 18:
+            return grouped(card(True)), [3] * 4
+        if k == 19:
+            return grouped(card(False)), [0] * 4
+        if k == 20:
+            return ["-".join(grouped(card(False)))], [0]
+        if k == 21:
+            return [f"{rng.choice(['api_key', 'secret', 'password', 'access_token'])}{rng.choice(['=', ':'])}{rng.choice(['', chr(34), chr(39)])}{secret()}"], [5]
+        if k == 22:
+            return rng.choice([[f"+{digits(rng.randint(9, 13))}"], [f"tel:+{rng.randint(1, 99)}-{digits(3)}-{digits(3)}-{digits(4)}"], [f"({digits(3)}){digits(3)}-{digits(4)}"]]), [2]
+        if k == 23:
+            t = [f"+{rng.randint(1, 99)}", *(digits(rng.randint(2, 4)) for _ in range(3)), digits(4)]
+            return t, [2] * 5
+        if k == 24:
+            return [rng.choice(["phone", "tel:", "call"]), digits(3), digits(3), digits(4)], [0, 2, 2, 2]
+        if k == 25:
+            return [rng.choice([f"{digits(2)}:{digits(2)}", f"({digits(4)})", f"({digits(2)})", f"n={digits(3)}", f"{digits(1)},{digits(3)}", f"{digits(1)}/{digits(2)}/{digits(4)}", f"x@{word()}", f"@{word()}{digits(2)}"])], [0]
+        if k == 26:
+            return [rng.choice(["key", "token", "secret"]), rng.choice([digits(2), f"{word()}{digits(1)}", f"{digits(1)}.{digits(1)}"])], [0, 0]
+        if k == 27:
+            return [digits(rng.randint(1, 4)) for _ in range(rng.randint(2, 3))], [0] * 3
         if k == 0:
             return [f"{word()}{rng.choice(['.', '_', ''])}{digits(rng.randint(0, 2))}@{word()}{rng.choice(['', digits(1)])}.{rng.choice(['example.com', 'org', 'net', 'co.uk'])}"], [1]
         if k == 1:
@@ -256,7 +393,7 @@ def _generated(rng: random.Random) -> list[tuple[list[str], list[int]]]:
         return [rng.choice("0367819") + digits(11), word()], [0, 0]
 
     out = []
-    for _ in range(1500):
+    for _ in range(3000):
         tokens, labels = [], []
         for _ in range(rng.randint(1, 3)):
             for _ in range(rng.randint(0, 3)):
@@ -266,7 +403,7 @@ def _generated(rng: random.Random) -> list[tuple[list[str], list[int]]]:
             end = rng.choice(["", "", "", ".", ",", "!!", "###", "***", "%%%"])
             for _ in range(rng.choice([1, 1, 1, 2])):
                 tokens += [*t[:-1], t[-1] + end]
-                labels += y
+                labels += y[: len(t)]
                 tokens.append(word())
                 labels.append(0)
         out.append((tokens, labels))
@@ -285,11 +422,9 @@ def train(seed: int = 11) -> Crf:
             at += len(t) + 1
         nodes = nodes_of(text)
         y = [starts[text.rfind(" ", 0, x[0]) + 1] for x in nodes]
-        cores = [x[2] for x in nodes]
+        features, cores, _ = chain_of(nodes)
+        rows += features
         for k, x in enumerate(nodes):
-            prev = cores[k - 1] if x[4] else ""
-            nxt = cores[k + 1] if k + 1 < len(nodes) and nodes[k + 1][4] else ""
-            rows.append(node_features(cores[k], x[3], (prev, nxt)))
             labels.append(y[k])
             if x[4]:
                 pairs[y[k - 1], y[k]] += 1

@@ -136,3 +136,43 @@ def test_awkward_rows(spark, model):
     assert len(out) == len(rows)
     assert sorted(str(r.text) for r in out if r.doc_id in (1, 2, 3)) == sorted([str(None), "", " \n\t "])
     assert pii.find_entities(documents(spark, []), model).count() == 0 and pii.redact(documents(spark, []), model).count() == 0
+
+
+H40 = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("write (ana_b@uni.example.edu) soon", [("ana_b@uni.example.edu", "EMAIL")]),
+        ("contact:z9@corp.example", [("z9@corp.example", "EMAIL")]),
+        ("to x.y@one.example,p+q@two.example;r@three.example", [("x.y@one.example", "EMAIL"), ("p+q@two.example", "EMAIL"), ("r@three.example", "EMAIL")]),
+        ('{"mail":"m-n@mail.example"}', [("m-n@mail.example", "EMAIL")]),
+        ("at 10.0.0.1:8080 now", [("10.0.0.1", "IP")]),
+        ("ip=172.16.254.3 host=https://192.168.7.9/index.html", [("172.16.254.3", "IP"), ("192.168.7.9", "IP")]),
+        ("from 10.1.2.3-10.1.2.9", [("10.1.2.3", "IP"), ("10.1.2.9", "IP")]),
+        (f'api_key="{H40}"', [(H40, "SECRET")]),
+        (f"export SERVICE_TOKEN={H40};", [(H40, "SECRET")]),
+        ("client-secret: 'Zk3vQ8rLw1pTn5xYb7cMd2sFg4hJ6k0A'", [("Zk3vQ8rLw1pTn5xYb7cMd2sFg4hJ6k0A", "SECRET")]),
+        ("paid 4111 1111 1111 1111 today", [("4111 1111 1111 1111", "CARD")]),
+        ("paid (5500-0055-5555-5559) today", [("5500-0055-5555-5559", "CARD")]),
+        ("amex 3782 822463 10005.", [("3782 822463 10005", "CARD")]),
+        ("no 17 4012 8888 8888 1881 23", [("4012 8888 8888 1881", "CARD")]),
+        ("call +14155550123 or (415)555-0199", [("+14155550123", "PHONE"), ("(415)555-0199", "PHONE")]),
+        ("ring +44 20 7946 0958, please", [("+44 20 7946 0958", "PHONE")]),
+        ("(212) 555-0123,(213) 555-0144", [("(212) 555-0123", "PHONE"), ("(213) 555-0144", "PHONE")]),
+        ("4111 1111 1111 1112 and 1999 2000 2001 2002", []),
+        ("at 12:30 on 1/2/2020 (2019), n=3,141 v2.3.4 1.2.3.4.5 300.1.2.3:80", []),
+        ("key 5, @name2, a@b, page (12), 7:8", []),
+    ],
+)
+def test_forms_that_are_not_the_corpus(model, text, want):
+    assert [(text[a:b], label) for a, b, label, _ in pii.decode(text, model)] == want
+
+
+def test_a_grouped_card_is_the_same_as_a_whole_one(model):
+    text = "4111 1111 1111 1111 then 1111 then 4111-1111-1111-1111"
+    nodes = pii.nodes_of(text)
+    _, same, first = pii.chain_of(nodes)
+    assert first == [0, 0, 0, 0, 4, 5] and same == ["4" + "1" * 15] * 4 + ["1111", "4" + "1" * 15]
+    assert [(a, b) for a, b, *_ in pii.decode(text, model)] == [(0, 19), (35, 54)]
