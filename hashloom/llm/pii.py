@@ -33,6 +33,7 @@ from .common import map_arrow
 
 LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
 SCHEMA = "doc_id bigint, start_char bigint, end_char bigint, label string, probability double"
+#: So many rounds of messages go undamped.
 ROUNDS = 30
 _NODE = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 _EDGE = "\"'`.,;:!?*#$%&|<>[]{}=_~^/\\-"
@@ -256,9 +257,10 @@ def skip_edges(cores: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def marginals(unary: np.ndarray, chain_edges: list, skip: list, chain_pot: np.ndarray, skip_pot: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Loopy sum-product with flooding messages, until they no longer change or for
-    `rounds` rounds (at least a node's distance within a chain of that length)."""
+def marginals(unary: np.ndarray, chain_edges: list, skip: list, chain_pot: np.ndarray, skip_pot: np.ndarray) -> np.ndarray:
+    """Loopy sum-product with flooding messages, until they no longer change.  The longest path
+    there can be has as many edges as there are nodes, so it ends after that many rounds at
+    most; beyond ROUNDS, messages that move back and forth are averaged with the ones before."""
     n, k = unary.shape
     edges = [(a, b, chain_pot) for a, b in chain_edges] + [(a, b, skip_pot) for a, b in skip]
     if not edges:
@@ -269,7 +271,8 @@ def marginals(unary: np.ndarray, chain_edges: list, skip: list, chain_pot: np.nd
     back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
     log_u = np.log(unary + 1e-300)
     msg = np.zeros((len(src), k))
-    for _ in range(rounds):
+    last = np.zeros_like(msg)
+    for turn in range(max(ROUNDS, n)):
         total = log_u.copy()
         np.add.at(total, dst, msg)
         out = total[src] - msg[back]
@@ -277,7 +280,9 @@ def marginals(unary: np.ndarray, chain_edges: list, skip: list, chain_pot: np.nd
         new = np.log(np.einsum("ei,eij->ej", np.exp(out), pot) + 1e-300)
         new -= new.max(axis=1, keepdims=True)
         change = np.abs(new - msg).max()
-        msg = new
+        if turn >= ROUNDS and np.abs(new - last).max() < change / 2:
+            new = (new + msg) / 2
+        last, msg = msg, new
         if change < 1e-6:
             break
     total = log_u.copy()

@@ -176,3 +176,15 @@ def test_a_grouped_card_is_the_same_as_a_whole_one(model):
     _, same, first = pii.chain_of(nodes)
     assert first == [0, 0, 0, 0, 4, 5] and same == ["4" + "1" * 15] * 4 + ["1111", "4" + "1" * 15]
     assert [(a, b) for a, b, *_ in pii.decode(text, model)] == [(0, 19), (35, 54)]
+
+
+def test_messages_reach_the_end_of_a_long_chain():
+    n = 200
+    u = np.full((n, 2), 0.5)
+    u[0] = 0.99, 0.01
+    s = np.exp(4 * np.eye(2))
+    want = [u[0]]
+    for _ in range(n - 1):
+        v = want[-1] @ s
+        want.append(v / v.sum())
+    assert np.allclose(pii.marginals(u, [], [(k, k + 1) for k in range(n - 1)], np.ones((2, 2)), s), want, atol=1e-4)
