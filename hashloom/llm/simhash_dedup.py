@@ -4,8 +4,8 @@
    over its distinct word pairs.  Equal fingerprints collapse to one node.
 2. A shard holds the nodes that agree in some sampled bits of the first half.
    There are `tables` samples of `shard_bits` bits each; two fingerprints that
-   differ in a share p of their bits meet in a shard with probability
-   1 - (1 - (1-p)**shard_bits)**tables.  The bits follow the number of nodes, so that a
+   differ in d of their bits meet in a shard with probability
+   1 - (1 - C(128-d, shard_bits) / C(128, shard_bits))**tables.  The bits follow the number of nodes, so that a
    shard stays small, and the tables the bits, so that this probability stays.
 3. The nodes of a shard meet in one task, which builds their BK-tree (children
    keyed by the Hamming distance to the parent) and, for every node, follows only
@@ -32,8 +32,8 @@ from .common import forget, map_arrow, sized_broadcast, written
 
 RADIUS = 24
 PAIR_RADIUS = 32
-#: Two fingerprints that differ in so many bits of the first half meet with this probability.
-MEETING_DISTANCE, MEETING = 20, 0.93
+#: Two fingerprints that differ in so many bits of the first half meet with this probability, nearer ones with a larger one.
+MEETING_DISTANCE, MEETING = RADIUS, 0.93
 LEAST_BITS = 16
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -94,7 +94,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def shards_for(n: int) -> tuple[int, int]:
     """(tables, shard_bits) for n nodes."""
     bits = min(56, max(LEAST_BITS, n.bit_length() - 4))
-    meet = (1 - MEETING_DISTANCE / 128) ** bits
+    meet = math.comb(128 - MEETING_DISTANCE, bits) / math.comb(128, bits)  # the bits of a sample are distinct
     return math.ceil(math.log(1 - MEETING) / math.log(1 - meet)), bits
 
 

@@ -1,6 +1,7 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -124,3 +125,27 @@ def test_short_texts_are_copies_only_of_equal_ones(spark):
     rows = [(i, prose(rng, 3)) for i in range(40)] + [(100, "just these words"), (101, "just these words")]
     got = {r.doc_id: r.group_id for r in S.groups(documents(spark, rows)).collect()}
     assert got == {100: 100, 101: 100}
+
+
+def meeting(differ, n):
+    """Of rows of 128 booleans (which bits two fingerprints differ in), the share that shares a shard among n nodes."""
+    return np.any([~differ[:, at].any(axis=1) for at in S.sampled_bits(*S.shards_for(n))], axis=0).mean()
+
+
+def test_recall_up_to_the_radius_at_every_size():
+    rng = np.random.default_rng(7)
+    for n in (1000, 1 << 20, 1 << 24, 1 << 28):
+        for d in (12, 20, 22, S.RADIUS):
+            differ = rng.permuted(np.tile(np.arange(128) < d, (3000, 1)), axis=1)
+            assert meeting(differ, n) >= 0.9, (n, d)
+
+
+def test_recall_of_short_texts():
+    rng = random.Random(8)
+    far = []
+    while len(far) < 200:
+        text = prose(rng, rng.randint(10, 50))
+        f, g = S.fingerprint(text), S.fingerprint(near_copy(rng, text, 0.1))
+        if 20 < distance(f[:16], g[:16]) <= S.RADIUS:
+            far.append(np.unpackbits(np.frombuffer(f[:16], np.uint8) ^ np.frombuffer(g[:16], np.uint8)).astype(bool))
+    assert all(meeting(np.array(far), n) >= 0.88 for n in (1000, 1 << 24))
