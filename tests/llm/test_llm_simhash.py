@@ -1,9 +1,14 @@
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from hashloom.llm import simhash_dedup as S
 from llm_data import awkward, documents, prose
@@ -44,24 +49,63 @@ def union(pairs):
     return {x: root(x) for x in parent}
 
 
-def distance(f, g):
-    return (int.from_bytes(f) ^ int.from_bytes(g)).bit_count()
+def prints(texts):
+    """{row: (first half, second half, keys)} of the texts that have words."""
+    rows, fps, keys = S.prints_of(pa.array(texts, pa.string()))
+    halves = [(int.from_bytes(f[:2].astype(">i8").tobytes()), int.from_bytes(f[2:].astype(">i8").tobytes())) for f in fps]
+    return {int(r): (*h, k) for r, h, k in zip(rows, halves, keys)}
 
 
-def test_recall_and_precision_against_all_pairs(spark):
+def within(f, g):
+    return (f[0] ^ g[0]).bit_count() <= S.RADIUS and (f[1] ^ g[1]).bit_count() <= S.PAIR_RADIUS
+
+
+def linked(f, g):
+    return within(f, g) and sum(f[2] == g[2]) >= S.SHARED
+
+
+def all_links(rows, rule=linked):
+    p = prints([t for _, t in rows])
+    return [(rows[i][0], rows[j][0]) for i in p for j in p if i < j and (rows[i][1] == rows[j][1] or rule(p[i], p[j]))]
+
+
+def test_groups_are_those_of_all_links(spark):
     rows, source = corpus()
-    prints = {i: S.fingerprint(t) for i, t in rows}
-    near = [(i, j) for i in prints for j in prints if i < j and distance(prints[i][:16], prints[j][:16]) <= S.RADIUS and distance(prints[i][16:], prints[j][16:]) <= S.PAIR_RADIUS]
     got = {r.doc_id: r.group_id for r in S.groups(documents(spark, rows)).collect()}
-    assert sum(i in got and got[i] == got.get(j) for i, j in near) >= 0.9 * len(near)
-    want = union(near)
-    assert all(want.get(i) == want.get(g) for i, g in got.items())
+    assert got == union(all_links(rows))
+    # of all pairs within the radii, none is lost for want of shared keys
+    assert union(all_links(rows, within)) == got
     # and against what was planted
     planted = [(i, j) for i in source for j in source if i < j and source[i] == source[j]]
     assert sum(i in got and got[i] == got.get(j) for i, j in planted) >= 0.9 * len(planted)
     assert all(source[i] == source[g] for i, g in got.items())
 
 
+def test_links_do_not_depend_on_other_rows(spark):
+    rows, _ = corpus()
+    rng = random.Random(77)
+    others = [(10_000 + k, prose(rng, 80)) for k in range(300)]
+    alone = {r.doc_id: r.group_id for r in S.groups(documents(spark, rows)).collect()}
+    among = {r.doc_id: r.group_id for r in S.groups(documents(spark, rows + others)).collect()}
+    assert {i: g for i, g in among.items() if i < 10_000} == alone
+
+
+@pytest.mark.parametrize("cell", [2, 17])
+def test_crowded_shards_lose_no_link(spark, cell):
+    """A line that most documents begin with, and one text with many near copies: shards beyond the bound."""
+    rng = random.Random(31)
+    line, base = prose(rng, 12), prose(rng, 60)
+    rows = [(i, f"{line} {prose(rng, 25)}") for i in range(60)]
+    rows += [(100 + i, f"{line} {near_copy(rng, base, 0.05)}") for i in range(40)]
+    rows += [(200 + i, near_copy(rng, rows[i][1], 0.04)) for i in range(20)]
+    docs = documents(spark, rows)
+    nodes = S.fingerprints(docs).select(F.col("doc_id").alias("node"), F.col("doc_id").alias("rep"), "a", "b", "c", "d", "keys")
+    want = union(all_links(rows))
+    assert len(want) > 50
+    got = union((r.u, r.v) for r in S.near_edges(nodes, S.RADIUS, S.PAIR_RADIUS, cell=cell).collect())
+    assert got == want
+
+
 def test_group_sizes_and_ids(spark):
     rows, _ = corpus()
     members = defaultdict(set)
@@ -73,20 +117,47 @@ def test_group_sizes_and_ids(spark):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(0, 2**12 - 1), max_size=60), st.integers(0, 2**12 - 1), st.integers(0, 6))
-def test_bk_tree_against_a_scan(values, value, radius):
-    tree = S.BKTree()
-    for v in values:
-        tree.add(v)
-    assert sorted(tree.within(value, radius)) == [k for k, v in enumerate(values) if (v ^ value).bit_count() <= radius]
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 2**12 - 1)), max_size=60, unique=True), st.integers(0, 6))
+def test_bk_trees_against_a_scan(values, radius):
+    values = sorted(values)
+    shard = np.array([s for s, _ in values], np.int64)
+    x = np.array([(0, v) for _, v in values], np.uint64).reshape(-1, 2)
+    forest = S.BKForest(x, shard, radius)
+    for k, up in enumerate(forest.parent):
+        assert up < k and (up < 0 or shard[up] == shard[k])
+    edges = [(int(up), (values[k][1] ^ values[up][1]).bit_count()) for k, up in enumerate(forest.parent) if up >= 0]
+    assert len(set(edges)) == len(edges)  # children are keyed by their distance to the parent
+    found = [tuple(p) for part in forest.pairs(np.arange(len(x)), np.full(len(x), -1)) for p in part.tolist()]
+    want = {(i, j) for j in range(len(x)) for i in range(j) if shard[i] == shard[j] and (values[i][1] ^ values[j][1]).bit_count() <= radius}
+    assert set(found) == want and len(found) == len(want)
 
 
-@settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.integers(0, 255), st.integers(0, 255)), max_size=30))
-def test_edges_of_a_shard_connect_as_all_pairs_do(values):
-    nodes = [(i, a, 0, c, 0) for i, (a, c) in enumerate(values)]
-    want = union((i, j) for i, a, _, c, _ in nodes for j, e, _, g, _ in nodes if i < j and (a ^ e).bit_count() <= 2 and (c ^ g).bit_count() <= 3)
-    assert union(S.shard_edges(nodes, 2, 3)) == want
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 255), st.integers(0, 255), st.integers(0, 3)), max_size=40))
+def test_edges_of_shards_connect_as_all_links_do(values):
+    shard = np.array([s for s, *_ in values], np.int64)
+    fps = np.array([(0, a, 0, c) for _, a, c, _ in values], np.int64).reshape(-1, 4)
+    keys = np.array([(k & 1, k >> 1, 7) for *_, k in values], np.int64).reshape(-1, 3)
+
+    def link(i, j):
+        return shard[i] == shard[j] and (fps[i, 1] ^ fps[j, 1]).item().bit_count() <= 2 and (fps[i, 3] ^ fps[j, 3]).item().bit_count() <= 3 and (keys[i] == keys[j]).sum() >= 2
+
+    want = union((i, j) for j in range(len(values)) for i in range(j) if link(i, j))
+    assert union(S.shard_edges(shard, fps, keys, 2, 3, 2)) == want
+
+
+def test_fingerprints_by_hand():
+    """Against counts of bits word by word."""
+    texts = ["One two two three, TWO three!", "x", "  ", None, "é ü ñ é ü", "a " * 700 + "b c d"]
+    got = prints(texts)
+    assert sorted(got) == [0, 1, 4, 5]
+    for k, f in got.items():
+        words = re.findall(r"\w+", texts[k].lower())
+        bits = [np.unpackbits(np.frombuffer(xxhash.xxh128_digest(w), np.uint8)) for w in dict.fromkeys(words)]
+        want = np.packbits(2 * np.sum(bits, axis=0, dtype=int) > len(bits)).tobytes()
+        assert f[0] == int.from_bytes(want)
+    alone = [prints([t])[0] for t in (texts[0], texts[4])]
+    assert all(a[:2] == got[k][:2] and (a[2] == got[k][2]).all() for a, k in zip(alone, (0, 4)))
 
 
 def test_components_against_union_find(spark):
@@ -127,25 +198,13 @@ def test_short_texts_are_copies_only_of_equal_ones(spark):
     assert got == {100: 100, 101: 100}
 
 
-def meeting(differ, n):
-    """Of rows of 128 booleans (which bits two fingerprints differ in), the share that shares a shard among n nodes."""
-    return np.any([~differ[:, at].any(axis=1) for at in S.sampled_bits(*S.shards_for(n))], axis=0).mean()
-
-
-def test_recall_up_to_the_radius_at_every_size():
-    rng = np.random.default_rng(7)
-    for n in (1000, 1 << 20, 1 << 24, 1 << 28):
-        for d in (12, 20, 22, S.RADIUS):
-            differ = rng.permuted(np.tile(np.arange(128) < d, (3000, 1)), axis=1)
-            assert meeting(differ, n) >= 0.9, (n, d)
-
-
 def test_recall_of_short_texts():
+    """Pairs at the rim of the radii, of few words: nearly all share enough keys."""
     rng = random.Random(8)
-    far = []
-    while len(far) < 200:
+    pairs = []
+    while len(pairs) < 300:
         text = prose(rng, rng.randint(10, 50))
-        f, g = S.fingerprint(text), S.fingerprint(near_copy(rng, text, 0.1))
-        if 20 < distance(f[:16], g[:16]) <= S.RADIUS:
-            far.append(np.unpackbits(np.frombuffer(f[:16], np.uint8) ^ np.frombuffer(g[:16], np.uint8)).astype(bool))
-    assert all(meeting(np.array(far), n) >= 0.88 for n in (1000, 1 << 24))
+        p = prints([text, near_copy(rng, text, 0.1)])
+        if within(p[0], p[1]) and p[0][:2] != p[1][:2] and (p[0][0] ^ p[1][0]).bit_count() > 12:
+            pairs.append(p)
+    assert sum(linked(p[0], p[1]) for p in pairs) >= 0.97 * len(pairs)
