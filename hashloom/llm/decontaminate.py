@@ -8,24 +8,31 @@ blocks with their maximum; block-max WAND retrieves every item whose score reach
 the threshold.  A retrieved item counts as leaked if the passage holds enough of its
 question and of its answer.
 
-A passage is only queried if it holds an essential term: the rest of an item's
-terms together stay below the threshold, so no item is lost by that.
+Items and passages go through the same `tokens`.  Document frequencies and shares are made by
+Spark; the postings fall into index shards by item, of ITEMS items each.  A passage is only
+queried in a shard of which it holds an essential term: the rest of an item's terms together
+stay below the threshold, so no item is lost by that.  The essential terms' hashes are all that is
+broadcast.  Passages that hold one meet their shard's postings in tasks of bounded size.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, map_arrow, split_words, without, written
+from ..session import ship_package
+from .common import BROADCAST_BYTES, map_arrow, sized_broadcast, split_words, without, written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -33,13 +40,36 @@ THETA = 0.5
 OVERLAP = 0.5
 #: Passages have at least so many words; each overlaps the next by half.
 PASSAGE_WORDS = 128
-_SPLIT = re.compile(r"[^\w]+|_+")
+#: Items of an index shard, and passages that meet one in a task.
+ITEMS, PASSAGES = 4096, 20000
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
+_A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+
+
+def folded(text: str) -> str:
+    """Without regard to case and to compatible forms of characters."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+def tokens(texts: list) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, letters, marks and digits in a row, and each text's place among them."""
+    plain = pa.array([folded(t) if t else "" for t in texts], pa.large_string())
+    return split_words(pc.replace_substring_regex(plain, r"[^\p{L}\p{M}\p{N}]+", " "))
 
 
 def words_of(text: str) -> list[str]:
-    return [w for w in _SPLIT.split(text.lower()) if w]
+    return tokens([text])[0].to_pylist()
+
+
+def pair_hashes(flat: pa.Array) -> np.ndarray:
+    """The terms: hashes of each word with the next (one fewer than words)."""
+    coded = flat.dictionary_encode()
+    word = np.array([xxhash.xxh64_intdigest(w) for w in coded.dictionary.to_pylist()], np.uint64)[coded.indices.to_numpy(zero_copy_only=False)]
+    x = word[:-1] * _A + (word[1:] ^ (word[1:] >> np.uint64(32))) * _C
+    return (x ^ (x >> np.uint64(29))).view(np.int64)
 
 
 def question_and_answer(text: str) -> tuple[list[str], list[str]]:
@@ -47,69 +77,60 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
     run of whole last sentences with at least five words and a fifth of all;
     where that leaves no question, it is the last quarter of the words."""
     words = words_of(text)
-    parts = [w for s in _SENTENCE.split(text) if (w := words_of(s))]
-    size, at = 0, len(parts)
+    flat, offsets = tokens(_SENTENCE.split(text))
+    sizes = [n for n in np.diff(offsets).tolist() if n]
+    size, at = 0, len(sizes)
     while at > 0 and size < max(5, len(words) / 5):
         at -= 1
-        size += len(parts[at])
-    if size >= len(words) or sum(map(len, parts)) != len(words):
+        size += sizes[at]
+    if size >= len(words) or sum(sizes) != len(words):
         size = max(1, len(words) // 4)
     return words[: len(words) - size], words[len(words) - size :]
 
 
+def item_terms(text: str) -> list[tuple]:
+    """(term, tf, in question, in answer, length of its shorter word, of both) of an item; none with fewer than two words."""
+    q, a = question_and_answer(text)
+    words = q + a
+    if len(words) < 2:
+        return []
+    terms = pair_hashes(pa.array(words, pa.large_string())).tolist()
+    tf = Counter(terms)
+    in_q, in_a = set(terms[: max(1, len(q) - 1)]), set(terms[len(q) - 1 if len(q) > 1 else 0 :])
+    size = {t: (min(len(x), len(y)), len(x) + len(y)) for t, x, y in zip(terms, words, words[1:])}
+    return [(t, n, t in in_q, t in in_a, *size[t]) for t, n in tf.items()]
+
+
 @dataclass
 class Index:
-    vocabulary: list[str]
-    keys: np.ndarray  # sorted, left word * len(vocabulary) + right word
+    """Of some items: postings by term, with their blocks' maxima."""
+
+    keys: np.ndarray  # terms, sorted
     postings: list[tuple[list[int], list[float]]]
     block_max: list[list[float]]
     most: list[float]
-    essential: np.ndarray
-    items: list[tuple[int, frozenset, frozenset]]
-    passage_words: int
-
-
-def build_index(items: list[tuple[int, str]], df: Counter, n_items: int, mean_terms: float, theta: float, longest: int) -> Index:
-    """An index of these items; df, n_items, mean_terms and longest are those of all items."""
-    vocabulary: dict[str, int] = {}
-    ready = []
-    for item_id, text in sorted(items):
-        q, a = question_and_answer(text)
-        words = [vocabulary.setdefault(w, len(vocabulary)) for w in q + a]
-        if len(words) < 2:
-            continue
-        names = list(zip(q + a, (q + a)[1:]))
-        pairs = list(zip(words, words[1:]))
-        tf = Counter(pairs)
-        name_of = dict(zip(pairs, names))
-        norm = K1 * (1 - B + B * len(pairs) / mean_terms)
-        raw = {t: math.log(1 + (n_items - df[name_of[t]] + 0.5) / (df[name_of[t]] + 0.5)) * c * (K1 + 1) / (c + norm) for t, c in tf.items()}
-        total = sum(raw.values())
-        share = {t: v / total for t, v in raw.items()}
-        cut = max(1, len(q) - 1)
-        ready.append((item_id, share, name_of, frozenset(pairs[:cut]), frozenset(pairs[len(q) - 1 if len(q) > 1 else 0 :])))
-    v = max(1, len(vocabulary))
-    terms = sorted({t[0] * v + t[1] for _, share, *_ in ready for t in share})
-    number = {k: n for n, k in enumerate(terms)}
-    postings: list[tuple[list[int], list[float]]] = [([], []) for _ in terms]
-    essential = np.zeros(len(terms), bool)
-    out = []
-    for n, (item_id, share, name_of, qp, ap) in enumerate(ready):
-        left = 1.0
-        # Long words are rare ones: they make the fewest passages candidates.
-        for t in sorted(share, key=lambda t: (-min(map(len, name_of[t])), -sum(map(len, name_of[t])), t)):
-            if left < theta - 1e-9:
-                break
-            essential[number[t[0] * v + t[1]]] = True
-            left -= share[t]
-        for t, s in share.items():
-            p = postings[number[t[0] * v + t[1]]]
-            p[0].append(n)
-            p[1].append(s)
-        out.append((item_id, frozenset(number[a * v + b] for a, b in qp), frozenset(number[a * v + b] for a, b in ap)))
+    #: by item number: (item_id, version, terms of the question, of the answer), as places in keys
+    items: list[tuple[int, int, frozenset, frozenset]]
+
+
+def build_index(item_id: np.ndarray, version: np.ndarray, term: np.ndarray, share: np.ndarray, in_q: np.ndarray, in_a: np.ndarray) -> Index:
+    """From posting rows; an item is an item_id and a version of its text."""
+    order = np.lexsort((term, version, item_id))
+    item_id, version, term, share, in_q, in_a = (x[order] for x in (item_id, version, term, share, in_q, in_a))
+    new = np.ones(len(term), bool)
+    new[1:] = (item_id[1:] != item_id[:-1]) | (version[1:] != version[:-1])
+    number = np.cumsum(new) - 1
+    keys, at = np.unique(term, return_inverse=True)
+    starts = np.append(np.flatnonzero(new), len(term))
+    items = []
+    for lo, hi in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        t = at[lo:hi]
+        items.append((int(item_id[lo]), int(version[lo]), frozenset(t[in_q[lo:hi]].tolist()), frozenset(t[in_a[lo:hi]].tolist())))
+    by_term = np.lexsort((number, at))
+    ends = np.append(np.flatnonzero(np.diff(at[by_term], prepend=-1)), len(at))
+    postings = [(number[by_term[lo:hi]].tolist(), share[by_term[lo:hi]].tolist()) for lo, hi in zip(ends[:-1].tolist(), ends[1:].tolist())]
     block_max = [[max(s[i : i + BLOCK]) for i in range(0, len(s), BLOCK)] for _, s in postings]
-    most = [max(m) for m in block_max]
-    return Index(list(vocabulary), np.array(terms, np.int64), postings, block_max, most, essential, out, max(PASSAGE_WORDS, 2 * longest))
+    return Index(keys, postings, block_max, [max(m) for m in block_max], items)
 
 
 def block_max_wand(index: Index, terms: list[int], theta: float) -> list[tuple[int, float]]:
@@ -178,112 +199,154 @@ def block_max_wand(index: Index, terms: list[int], theta: float) -> list[tuple[i
     return found
 
 
-def term_numbers(index: Index, texts: pa.Array, vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of all texts the number of the term that begins there (or -1),
-    and the offsets of the texts."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(texts.cast(pa.large_string())), r"[^\p{L}\p{N}]+", " ")
-    flat, offsets = split_words(plain)
-    ids = pc.fill_null(pc.index_in(flat, value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-    term = np.full(len(ids), -1, np.int64)
-    if len(ids) > 1 and len(index.keys):
-        both = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0))
-        key = ids[both] * len(index.vocabulary) + ids[both + 1]
-        at = np.minimum(np.searchsorted(index.keys, key), len(index.keys) - 1)
-        hit = index.keys[at] == key
-        term[both[hit]] = at[hit]
-        ends = offsets[1:][offsets[1:] > offsets[:-1]] - 1
-        term[ends] = -1  # a pair doesn't reach into the next text
-    return term, offsets
-
-
-def leaks_in(index: Index, term: np.ndarray, essential_at: np.ndarray, theta: float, overlap: float) -> dict[int, tuple]:
-    """{item_id: (score, question overlap, answer overlap, first word)} of one text:
-    the best passage of each leaked item, of equal ones the first."""
-    width, step = index.passage_words, index.passage_words // 2
-    starts = {s for p in essential_at.tolist() for s in (p // step * step, p // step * step - step) if s >= 0}
-    best: dict[int, tuple] = {}
-    for s in sorted(starts):
-        held = np.unique(term[s : s + width - 1])
-        terms = held[held >= 0].tolist()
-        inside = frozenset(terms)
-        for n, score in block_max_wand(index, terms, theta):
-            item_id, q, a = index.items[n]
-            qo, ao = len(q & inside) / len(q), len(a & inside) / len(a)
-            if qo >= overlap and ao >= overlap and (item_id not in best or score > best[item_id][0] + 1e-12):
-                best[item_id] = (score, qo, ao, s)
-    return best
-
-
-def indexes(benchmark: DataFrame, theta: float, limit: int):
-    """Indexes of the benchmark's items, one after the other, each of about `limit` bytes at most."""
-    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text").filter("item_id is not null and text is not null")
-    items = items.distinct().orderBy("item_id", "text")
-    df: Counter = Counter()
-    n = total = longest = 0
-    for r in items.toLocalIterator():
-        w = words_of(r.text)
-        df.update(set(zip(w, w[1:])))
-        n, total, longest = n + 1, total + max(0, len(w) - 1), max(longest, len(w))
-    if not total:
+def leaks_in(index: Index, held: np.ndarray, theta: float, overlap: float) -> list[tuple[int, int, float, float, float]]:
+    """(item_id, version, score, question overlap, answer overlap) of each item leaked into a passage that holds these distinct terms."""
+    at = np.minimum(np.searchsorted(index.keys, held), len(index.keys) - 1)
+    terms = at[index.keys[at] == held].tolist()
+    inside, out = set(terms), []
+    for n, _ in block_max_wand(index, terms, theta):
+        item_id, version, q, a = index.items[n]
+        qo, ao = len(q & inside) / len(q), len(a & inside) / len(a)
+        if qo >= overlap and ao >= overlap:
+            # In the order of the terms, so that equal passages score alike.
+            score = sum(s for t in sorted(q | a) if t in inside for s in [index.postings[t][1][index.postings[t][0].index(n)]])
+            out.append((item_id, version, score, qo, ao))
+    return out
+
+
+def passages(flat: pa.Array, offsets: np.ndarray, known: np.ndarray, width: int):
+    """(text, first word, terms, places in known) of each passage that holds one of the known terms (sorted)."""
+    if len(flat) < 2 or not len(known):
         return
-    part: list[tuple[int, str]] = []
-    size = 0
-    for r in items.toLocalIterator():
-        part.append((r.item_id, r.text))
-        size += 40 * len(r.text)
-        if size > limit:
-            yield build_index(part, df, n, total / n, theta, longest)
-            part, size = [], 0
-    if part:
-        yield build_index(part, df, n, total / n, theta, longest)
-
-
-def find_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, overlap: float = OVERLAP, limit: int = BROADCAST_BYTES) -> DataFrame:
+    term = pair_hashes(flat)
+    inner = np.ones(len(term), bool)
+    ends = offsets[1:-1]
+    inner[ends[(ends > 0) & (ends < len(flat))] - 1] = False  # a pair doesn't reach into the next text
+    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
+    marked = np.flatnonzero((known[at] == term) & inner)
+    rows = np.searchsorted(offsets, marked, side="right") - 1
+    step = width // 2
+    for r in np.unique(rows).tolist():
+        lo, hi = int(offsets[r]), int(offsets[r + 1]) - 1
+        own = marked[np.searchsorted(rows, r) : np.searchsorted(rows, r, side="right")]
+        place = own - lo
+        for s in sorted({s for p in np.unique(place // step).tolist() for s in (p * step, p * step - step) if s >= 0}):
+            inside = own[(place >= s) & (place < s + width - 1)]
+            if len(inside):
+                yield r, s, np.unique(term[lo + s : min(hi, lo + s + width - 1)]), np.unique(at[inside])
+
+
+def postings(benchmark: DataFrame, theta: float, items_a_shard: int) -> tuple[DataFrame, int]:
+    """Written (shard, item_id, version, term, share, in_q, in_a, essential), and the width of passages."""
+    items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows = item_terms(t)
+                pairs, words = sum(r[1] for r in rows), len(words_of(t))
+                out += [(i, xxhash.xxh64_intdigest(t) - (1 << 63), pairs, words, *r) for r in rows]
+            cols = list(zip(*out)) if out else [[] for _ in range(10)]
+            kinds = (*[pa.int64()] * 6, pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["item_id", "version", "pairs", "words", "term", "tf", "in_q", "in_a", "shorter", "both"])
+
+    schema = "item_id bigint, version bigint, pairs bigint, words bigint, term bigint, tf bigint, in_q boolean, in_a boolean, shorter bigint, both bigint"
+    raw = written(map_arrow(items, run, schema), "item-terms")
+    n, total, longest = raw.select("item_id", "version", "pairs", "words").distinct().agg(F.count("*"), F.sum("pairs"), F.max("words")).first()
+    width = max(PASSAGE_WORDS, 2 * (longest or 0))
+    df = raw.groupBy("term").agg(F.count("*").alias("df"))
+    item = W.partitionBy("item_id", "version")
+    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    norm = K1 * (1 - B + B * F.col("pairs") / F.lit((total or 1) / max(n, 1)))
+    shares = raw.join(df, "term").withColumn("raw", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).withColumn("share", F.col("raw") / F.sum("raw").over(item))
+    # Long words are rare ones: they make the fewest passages candidates.
+    before = F.coalesce(F.sum("share").over(item.orderBy(F.desc("shorter"), F.desc("both"), "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    shard = F.pmod(F.xxhash64("item_id", "version"), F.lit(max(1, math.ceil(n / items_a_shard)))).cast("int")
+    out = shares.select(shard.alias("shard"), "item_id", "version", "term", "share", "in_q", "in_a", (1 - before >= theta - 1e-9).alias("essential"))
+    return written(out, "postings"), width
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, overlap: float = OVERLAP, limit: int = BROADCAST_BYTES, items_a_shard: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of each
-    benchmark item that leaked into each row of docs.
+    benchmark item that leaked into each row of docs: its best passage, of equal ones the first.
 
-    A broadcast index holds at most about `limit` bytes; a larger benchmark is cut
-    into several, and docs is read once for each.  Null and empty texts hold no
+    At most `limit` bytes of essential terms are broadcast; those of a larger benchmark are
+    broadcast in parts, and docs is read once for each.  Null and empty texts hold no
     passage; items with null id or text, or with fewer than two words, match
-    nothing; items with one id are told apart by text.  A null doc_id is returned
-    as null, repeated rows each report their leaks, other columns are not read, and
+    nothing; items with one id are told apart by text.  A text of any length is read whole.  A null
+    doc_id is returned as null, repeated rows each report their leaks, other columns are not read, and
     an empty table on either side gives no rows.
     """
     spark = docs.sparkSession
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("text is not null")
+    index_rows, width = postings(benchmark, theta, items_a_shard)
+    essential = written(index_rows.filter("essential").select("term", "shard").distinct(), "essential")
+    n = essential.count()
+    if not n:
+        return spark.createDataFrame([], SCHEMA)
+    parts = max(1, math.ceil(12 * n / limit))
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    candidates = "part int, shard int, doc_id bigint, h1 bigint, h2 bigint, start bigint, terms array<bigint>"
 
-    def probe(index: Index) -> DataFrame:
-        spread = spark.sparkContext.broadcast(index)
+    def probe(part: int) -> DataFrame:
+        rows = essential.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).toArrow()
+        order = np.argsort(rows.column("term").to_numpy(), kind="stable")
+        known = spark.sparkContext.broadcast((rows.column("term").to_numpy()[order], rows.column("shard").to_numpy()[order]))
 
         def run(batches):
-            index = spread.value
-            vocabulary = pa.array(index.vocabulary, pa.large_string())
+            terms, shards = known.value
+            distinct, first = np.unique(terms, return_index=True)
+            first = np.append(first, len(terms))
             for b in batches:
-                ids = b.column(0).to_pylist()
-                term, offsets = term_numbers(index, b.column(1), vocabulary)
-                marked = np.flatnonzero((term >= 0) & index.essential[term])
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 out = []
-                rows = np.searchsorted(offsets, marked, side="right") - 1
-                for r in np.unique(rows).tolist():
-                    lo, hi = offsets[r], offsets[r + 1]
-                    for item_id, x in leaks_in(index, term[lo:hi], marked[rows == r] - lo, theta, overlap).items():
-                        out.append((ids[r], item_id, *x))
-                cols = list(zip(*out)) if out else [[] for _ in range(6)]
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
-
-        return map_arrow(picked, run, SCHEMA)
-
-    parts = [probe(i) for i in indexes(benchmark, theta, limit)]
-    if not parts:
-        return spark.createDataFrame([], SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+                for r, s, held, hits in passages(*tokens(texts), distinct, width):
+                    h = xxhash.xxh128_intdigest(texts[r].encode("utf-8", "replace"))
+                    row = (ids[r], (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), s, held)
+                    out += [(part, x, *row) for x in sorted({x for k in hits.tolist() for x in shards[first[k] : first[k + 1]].tolist()})]
+                cols = list(zip(*out)) if out else [[] for _ in range(7)]
+                kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in candidates.split(", ")])
+
+        return map_arrow(picked, run, candidates)
+
+    found = probe(0)
+    for part in range(1, parts):
+        found = found.unionByName(probe(part))
+    found = written(found, "passages")
+    salts = sized_broadcast(found.groupBy("shard").agg(F.ceil(F.count("*") / PASSAGES).cast("int").alias("salts")), 8)
+    queries = found.join(salts, "shard").withColumn("salt", F.pmod(F.xxhash64("doc_id", "h1", "start"), F.col("salts")).cast("int")).drop("salts")
+    index = index_rows.join(salts, "shard").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+    index = index.select("shard", "salt", "item_id", "version", "term", "share", "in_q", "in_a")
+    hits = "part int, doc_id bigint, h1 bigint, h2 bigint, start bigint, item_id bigint, version bigint, score double, question_overlap double, answer_overlap double"
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
+        if left.num_rows and right.num_rows:
+            built = build_index(*(left.column(c).to_numpy() for c in ("item_id", "version", "term", "share", "in_q", "in_a")))
+            names = right.select(["part", "doc_id", "h1", "h2", "start"]).to_pylist()
+            lists = right.column("terms").combine_chunks()
+            flat, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+            for k, name in enumerate(names):
+                out += [(*name.values(), *x) for x in leaks_in(built, flat[ends[k] : ends[k + 1]], theta, overlap)]
+        cols = list(zip(*out)) if out else [[] for _ in range(10)]
+        kinds = (pa.int32(), *[pa.int64()] * 6, *[pa.float64()] * 3)
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in hits.split(", ")])
+
+    ship_package(spark)
+    met = index.groupBy("shard", "salt").cogroup(queries.groupBy("shard", "salt")).applyInArrow(meet, hits)
+    # Equal rows find the same passages; how many there are is how often a row stands in docs.
+    text, item = ("doc_id", "h1", "h2"), ("item_id", "version")
+    best = F.max(F.struct("score", (-F.col("start")).alias("back"), "question_overlap", "answer_overlap")).alias("best")
+    each = met.groupBy("part", *text, *item, "start").agg(F.count("*").cast("int").alias("times"), F.first("score").alias("score"), F.first("question_overlap").alias("question_overlap"), F.first("answer_overlap").alias("answer_overlap"))
+    leaks = each.groupBy(*text, *item).agg(best, F.max("times").alias("times"))
+    return leaks.withColumn("__nth", F.explode(F.sequence(F.lit(1), F.col("times")))).select(
+        "doc_id", "item_id", "best.score", "best.question_overlap", "best.answer_overlap", (-F.col("best.back")).alias("first_word")
+    )
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without the documents that hold a leaked item (by doc_id; rows whose
-    doc_id is null stay)."""
+    doc_id is null stay, and so do null and empty texts; of repeated rows all go or all stay; an empty
+    table on either side takes nothing away)."""
     return without(docs, written(find_leaks(docs, benchmark, **how).select("doc_id").distinct(), "leaks"))

@@ -1,6 +1,11 @@
+import math
 import random
 from collections import Counter
 
+import numpy as np
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
+
 from hashloom.llm import decontaminate as D
 from llm_data import awkward, documents, prose
 
@@ -13,14 +18,21 @@ def bench(spark, rows):
     return spark.createDataFrame(rows, "item_id bigint, text string")
 
 
-def index_of(rows, theta=D.THETA):
-    df, total, longest = Counter(), 0, 0
-    for _, t in rows:
+def shares_of(rows):
+    """{(item_id, text): {term: share}} by BM25 as it is written in books, words as text."""
+    pairs = {}
+    for k, t in rows:
         w = D.words_of(t)
-        df.update(set(zip(w, w[1:])))
-        total += len(w) - 1
-        longest = max(longest, len(w))
-    return D.build_index(rows, df, len(rows), total / len(rows), theta, longest)
+        if len(w) > 1:
+            pairs[k, t] = Counter(zip(w, w[1:]))
+    df = Counter(p for tf in pairs.values() for p in tf)
+    mean = sum(sum(tf.values()) for tf in pairs.values()) / len(pairs)
+    out = {}
+    for key, tf in pairs.items():
+        norm = D.K1 * (1 - D.B + D.B * sum(tf.values()) / mean)
+        raw = {p: math.log(1 + (len(pairs) - df[p] + 0.5) / (df[p] + 0.5)) * c * (D.K1 + 1) / (c + norm) for p, c in tf.items()}
+        out[key] = {p: v / sum(raw.values()) for p, v in raw.items()}
+    return out
 
 
 def corpus():
@@ -41,34 +53,34 @@ def corpus():
     return tests, rows, planted
 
 
-def brute(rows, index, theta=D.THETA, overlap=D.OVERLAP):
-    """Every passage against every item, term by term."""
-    number = {int(k): n for n, k in enumerate(index.keys)}
-    v = len(index.vocabulary)
-    ids = {w: n for n, w in enumerate(index.vocabulary)}
-    share = {}
-    for t, (which, scores) in enumerate(index.postings):
-        for n, s in zip(which, scores):
-            share[n, t] = s
+def brute(rows, tests, theta=D.THETA, overlap=D.OVERLAP):
+    """Every passage against every item, term by term, in words."""
+    shares = shares_of(tests)
+    width = max(D.PASSAGE_WORDS, 2 * max(len(D.words_of(t)) for _, t in tests))
+    sides = {}
+    for key in shares:
+        q, a = D.question_and_answer(key[1])
+        w = list(zip(q + a, (q + a)[1:]))
+        sides[key] = set(w[: max(1, len(q) - 1)]), set(w[len(q) - 1 if len(q) > 1 else 0 :])
     out = {}
     for i, text in rows:
-        w = [ids.get(x, -1) for x in D.words_of(text or "")]
-        term = [number.get(a * v + b, -1) if a >= 0 <= b else -1 for a, b in zip(w, w[1:])] + [-1]
-        width, step = index.passage_words, index.passage_words // 2
-        for s in range(0, max(1, len(w)), step):
-            inside = set(term[s : s + width - 1]) - {-1}
-            for n, (item, q, a) in enumerate(index.items):
-                score = sum(share.get((n, t), 0.0) for t in inside)
+        w = D.words_of(text or "")
+        for s in range(0, max(1, len(w)), width // 2):
+            p = w[s : s + width]
+            inside = set(zip(p, p[1:]))
+            for key, share in shares.items():
+                q, a = sides[key]
+                score = sum(v for t, v in share.items() if t in inside)
                 if score >= theta - 1e-9 and len(q & inside) >= overlap * len(q) and len(a & inside) >= overlap * len(a):
-                    if (i, item) not in out or score > out[i, item][0] + 1e-12:
-                        out[i, item] = (score, len(q & inside) / len(q), len(a & inside) / len(a), s)
+                    if (i, key[0]) not in out or score > out[i, key[0]][0] + 1e-12:
+                        out[i, key[0]] = (score, len(q & inside) / len(q), len(a & inside) / len(a), s)
     return out
 
 
 def test_against_every_passage_and_item(spark):
     tests, rows, planted = corpus()
     got = {(r.doc_id, r.item_id): (r.score, r.question_overlap, r.answer_overlap, r.first_word) for r in D.find_leaks(documents(spark, rows), bench(spark, tests)).collect()}
-    want = brute(rows, index_of(tests))
+    want = brute(rows, tests)
     assert set(got) == set(want) == planted
     for k, x in got.items():
         assert all(abs(a - b) < 1e-9 for a, b in zip(x, want[k]))
@@ -76,10 +88,15 @@ def test_against_every_passage_and_item(spark):
 
 def test_several_indexes_find_the_same(spark):
     tests, rows, planted = corpus()
-    got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents(spark, rows), bench(spark, tests), limit=4000).collect()}
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents(spark, rows), bench(spark, tests), limit=4000, items_a_shard=7).collect()}
     assert got == planted
 
 
+def index_of(rows):
+    cols = [(k, 0, t[0], random.Random(f"{k} {t[0]}").random(), t[2], t[3]) for k, text in rows for t in D.item_terms(text)]
+    return D.build_index(*(np.array(c) for c in zip(*cols)))
+
+
 def test_wand_against_full_scores():
     rng = random.Random(8)
     # many items share few words, so that postings span several blocks
@@ -95,6 +112,37 @@ def test_wand_against_full_scores():
         assert {n for n, _ in D.block_max_wand(index, terms, theta)} == {n for n, s in full.items() if s >= theta - 1e-9}
 
 
+LETTERS = st.text(st.characters(codec="utf-8"), min_size=1, max_size=8)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(LETTERS, min_size=2, max_size=30), st.sampled_from([str, str.upper, str.lower, str.title]))
+@example(["ΟΔΟΣ", "ΣΟΦΟΣ", "ΛΟΓΟΣ"], str)
+@example(["İSTANBUL", "ISPARTA", "DİYARBAKIR"], str)
+@example(["Straße", "ﬁnden", "Ǆ"], str)
+def test_every_item_equals_its_own_copy(words, changed):
+    """In any script; a copy in other case too, where case is all that changes."""
+    text = " ".join(words)
+    rows = D.item_terms(text)
+    copy = changed(text)
+    if D.words_of(copy) != D.words_of(text):
+        copy = text
+    flat, offsets = D.tokens(["other words here", copy, None])
+    found = list(D.passages(flat, offsets, np.unique(np.array([r[0] for r in rows], np.int64)), 128))
+    if not rows:
+        assert found == []
+        return
+    index = D.build_index(*(np.array(c) for c in zip(*[(5, 0, r[0], 1 / len(rows), r[2], r[3]) for r in rows])))
+    assert {(r, x[0], round(x[2], 9), x[3], x[4]) for r, _, held, _ in found for x in D.leaks_in(index, held, 0.999, 1.0)} == {(1, 5, 1.0, 1.0, 1.0)}
+
+
+def test_other_scripts_end_to_end(spark):
+    tests = [(1, "ΠΟΙΟΣ ΕΙΝΑΙ Ο ΜΕΓΑΛΟΣ ΠΟΤΑΜΟΣ ΤΗΣ ΧΩΡΑΣ; Ο ΝΕΙΛΟΣ ΕΙΝΑΙ Ο ΜΕΓΑΛΟΣ ΠΟΤΑΜΟΣ."), (2, "İSTANBUL HANGİ İLDİR VE NERESİDİR? ÇOK BÜYÜK BİR ŞEHİRDİR İSTANBUL.")]
+    rows = [(10, tests[0][1]), (11, f"x y {tests[1][1]} z"), (12, tests[0][1].lower()), (13, tests[0][1].casefold())]
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(documents(spark, rows), bench(spark, tests)).collect()}
+    assert got == {(10, 1), (11, 2), (12, 1), (13, 1)}
+
+
 def test_clean_documents_stay(spark):
     tests, rows, planted = corpus()
     docs = documents(spark, rows, clashing=True)
