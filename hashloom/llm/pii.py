@@ -1,24 +1,32 @@
 """Personal data by a skip-chain conditional random field.
 
 Runs of non-blanks are split into tokens at brackets, quotes, colons, commas, equals signs and
-the like, and around an address that stands within a longer token.  A token without an ASCII
-digit or '@' is observed as background: it is outside every entity and cuts the chain.  The others
-are nodes with labels; a card or phone number in groups is several of them.  Potentials:
+the like, and around an address that stands within a longer token.  Nodes with labels are
 
-* node: multinomial logistic weights on the token's shape, its neighbours and the number
+* tokens with an ASCII digit or '@';
+* tokens that something introduces: a credential's name ("password: ..."), a title or "name:",
+  the form of a vendor's key or of an IBAN;
+* and every other token of the document that is the same as one that was introduced.
+
+The other tokens are observed as background: outside every entity, and they cut the
+chain.  A number in groups is several nodes.  Potentials:
+
+* node: weights on the token's shape, what introduces it, its neighbours and the number
   whose group it may be;
-* chain: between adjacent nodes, from label pairs counted in training;
+* chain: a weight for each pair of labels of adjacent nodes;
 * skip: between a node and the next one in the same document with the same core
-  (the token without outer punctuation; the whole number of a grouped card), however far away,
+  (the token without outer punctuation; the whole number of a grouped one), however far away,
   or the next with the same shape and the same eight leading characters; it rewards equal labels.
 
-Loopy sum-product message passing over the whole document gives the marginals; a
-node takes the label with the largest one.  The three kinds of potential are trained
-apart, as pieces, on text that is generated here.
+A name or password is introduced once and repeated bare; the bare token alone tells nothing, and
+only the skip edges label it.  Loopy sum-product message passing over the whole document
+gives the marginals; a node takes the label with the largest one.  All weights are fitted
+together, by maximum pseudo-likelihood, on text that is generated here.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 from dataclasses import dataclass
@@ -31,10 +39,11 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET")
+LABELS = ("O", "EMAIL", "PHONE", "CARD", "IP", "SECRET", "NAME", "ID")
 SCHEMA = "doc_id bigint, start_char bigint, end_char bigint, label string, probability double"
 #: So many rounds of messages go undamped.
 ROUNDS = 30
+_RUN = re.compile(r"\S+")
 _NODE = re.compile(r"(?<!\S)[^\s0-9@]*[0-9@]\S*")
 _EDGE = "\"'`.,;:!?*#$%&|<>[]{}=_~^/\\-"
 _EMAIL = re.compile(r"[A-Za-z0-9À-ɏ][\w.+%-]*@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
@@ -42,12 +51,30 @@ _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
 _HEX = re.compile(r"[0-9a-fA-F]{24,}")
 _OPAQUE = re.compile(r"(?=\S*\d)(?=\S*[A-Za-z])[A-Za-z0-9_+/-]{24,}={0,2}")
 _KEYWORDS = {"token", "secret", "key", "password", "passwd", "apikey", "api_key", "auth", "credential", "bearer"}
-_CALL = {"phone", "tel", "telephone", "mobile", "cell", "call", "fax", "telefon", "tél"}
+_CALL = {"phone", "tel", "telephone", "mobile", "cell", "call", "fax", "telefon", "tél", "ring", "dial", "teléfono", "handy"}
 _DELIMITERS = r"\s,;:=\"'`<>()\[\]{}|?!&#*$\\"
 #: The area code keeps its brackets, and base64 its slashes.
 _PIECE = re.compile(rf"\(\d{{2,5}}\)|[^{_DELIMITERS}]+")
 _WORD = re.compile(rf"[^{_DELIMITERS}/]+")
 _WITHIN = re.compile(rf"{_EMAIL.pattern}|(?<![\w.]){_IP.pattern}(?![\w]|\.\d)")
+_IP6 = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
+_SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
+_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
+_VENDOR = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+)(?!\w)")
+_CREDENTIAL = re.compile(
+    r"(?i)(?<![^\W_])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|passwort|kennwort|contraseña|mot de passe)"
+    r"[\"']?(?:\s*[:=]\s*|\s+is\s+(?=[\"']?\S*\d))[\"']?([^\s\"'<>,;()]+)"
+)
+_PERSON = re.compile(
+    r"(?<!\w)(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Mme|Madame|Monsieur|Signora?)\b\.?\s+|(?:[Nn]ame|NAME)\s*[:=]\s*|[Mm]y name is\s+)"
+    r"([A-ZÀ-Þ][\w'’-]+(?:[ \t]+[A-ZÀ-Þ][\w'’-]+){0,2})"
+)
+#: What has to be in a text (in small letters) for these to be looked for.
+_CREDENTIAL_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "kennwort", "contraseña")
+_PERSON_HINTS = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Se\u00f1or", "Sr", "Mme", "Ma", "Mo", "Signor", "ame", "AME")
+_VENDOR_HINTS = ("AKIA", "gh", "sk-", "xox", "eyJ")
+#: Values that stand where a password could and are none.
+_PLAIN = frozenset("required optional none null true false string yes no empty here reset invalid expired changed wrong unknown missing new old value text type int the a your".split())
 _LIST = set(",;|/")  # between two numbers
 #: How many digits the groups of a card number have.
 _CARD_GROUPS = ((4, 4, 4, 4, 3), (4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
@@ -71,12 +98,54 @@ def core_of(token: str) -> tuple[int, str]:
 
 def shape_of(core: str) -> str:
     s = re.sub(r"[A-Z]", "A", re.sub(r"[a-z]", "a", re.sub(r"[0-9]", "9", core)))
-    return re.sub(r"(.)\1{2,}", r"\1\1+", s)[:24]
+    return re.sub(r"(.)\1{2,}", r"\1\1+", s)
+
+
+def iban(text: str) -> bool:
+    plain = text.replace(" ", "")
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def ip6(text: str) -> bool:
+    try:
+        return len([g for g in text.split(":") if g]) > 2 and any(c.isdigit() for c in text) and ipaddress.ip_address(text).version == 6
+    except ValueError:
+        return False
+
+
+def introduced(text: str) -> dict[int, tuple[str, str]]:
+    """{start: (kind, core)} of the tokens that something introduces."""
+    found: dict[int, tuple[str, str]] = {}
+    low = text.lower()
+
+    def add(kind: str, start: int, part: str) -> None:
+        for w in re.finditer(r"\S+", part):
+            lead, core = core_of(w.group())
+            if core:
+                found.setdefault(start + w.start() + lead, (kind, core))
+
+    if any(h in low for h in _CREDENTIAL_HINTS):
+        for m in _CREDENTIAL.finditer(text):
+            add("secret", m.start(1), m.group(1))
+    if any(h in text for h in _PERSON_HINTS):
+        for m in _PERSON.finditer(text):
+            add("name", m.start(1), m.group(1))
+    if any(h in text for h in _VENDOR_HINTS):
+        for m in _VENDOR.finditer(text):
+            add("vendor", m.start(), m.group())
+    for m in _IBAN.finditer(text):
+        if iban(m.group()):
+            add("iban", m.start(), m.group())
+    return found
 
 
 def pieces(run: str) -> list[tuple[int, str]]:
     """(start, token) of the tokens of a run of non-blanks, without outer punctuation."""
     out: list[tuple[int, str]] = []
+    if run.count(":") > 1:
+        for m in _IP6.finditer(run):
+            if ip6(m.group()):
+                return [*pieces(run[: m.start()]), (m.start(), m.group()), *((m.end() + at, t) for at, t in pieces(run[m.end() :]))]
 
     def add(at: int, token: str) -> None:
         lead, core = core_of(token)
@@ -121,8 +190,17 @@ def number_groups(nodes: list) -> tuple[list[str], list[int]]:
                         got, size = valid, len(groups)
                     if luhn(digits):
                         break
-        if not got and plain[k] and end >= k + 3 and [len(x[2]) for x in nodes[k : k + 3]] == [3, 3, 4] and {b.lower() for b in nodes[k][3]} & _CALL:
-            got, size = "phonegroups", 3
+        if not got and nodes[k][6] == "iban":
+            size = 1
+            while k + size < n and nodes[k + size][6] == "iban" and nodes[k + size][5] == " ":
+                size += 1
+            got = "ibangroups"
+        if not got and plain[k] and {b.lower() for b in nodes[k][3]} & _CALL:
+            size, total = 1, len(nodes[k][2])
+            while k + size < end and size < 5 and total + len(nodes[k + size][2]) <= 13:
+                total += len(nodes[k + size][2])
+                size += 1
+            got, size = ("phonegroups", size) if total >= 9 else ("", 1)
         if not got and re.fullmatch(r"\+\d{1,3}", nodes[k][2]) and end > k + 1:
             size, total = 1, len(nodes[k][2]) - 1
             while k + size < end and 2 <= len(nodes[k + size][2]) <= 8 and total + len(nodes[k + size][2]) <= 15:
@@ -136,19 +214,30 @@ def number_groups(nodes: list) -> tuple[list[str], list[int]]:
     return kind, first
 
 
-def node_features(core: str, before: tuple[str, str], neighbours: tuple[str, str], group: str = "") -> list[str]:
+def node_features(core: str, before: tuple[str, str], neighbours: tuple[str, str], group: str = "", cue: str = "") -> list[str]:
     """Features of a node; before: the two words that precede it in the text;
     neighbours: the cores of the adjacent nodes in the chain ('' for background);
-    group: what kind of number it may be a group of."""
+    group: what kind of number it may be a group of; cue: what introduces it, or 'echo' if
+    that happens elsewhere."""
     f = ["bias"]
     if group:
         f.append(group)
+    if cue:
+        f.append(f"cue:{cue}")
+        if cue == "secret":
+            f.append("cue&" + ("plain" if core.lower() in _PLAIN else "digit" if re.search(r"\d", core) else "short" if len(core) < 5 else "word"))
+        elif cue in ("name", "echo") and not re.search(r"[\d@]", core):
+            f.append(f"{cue}&" + ("plain" if core.lower() in _PLAIN else "capital" if core[:1].isupper() else "small"))
+    if _SSN.fullmatch(core):
+        f.append("ssn")
     digits = re.sub(r"\D", "", core)
     if _EMAIL.fullmatch(core):
         f.append("email")
     elif "@" in core:
         f.append("at")
     m = _IP.fullmatch(core)
+    if ":" in core and ip6(core):
+        f.append("ip")
     if m:
         f.append("ip" if all(int(g) < 256 for g in m.groups()) else "dotted4")
     if core.isascii() and core.isdigit():
@@ -203,28 +292,37 @@ class Crf:
         return self._unary[key]
 
 
-def nodes_of(text: str) -> list[tuple[int, int, str, tuple[str, str], bool, str]]:
+def nodes_of(text: str) -> list[tuple[int, int, str, tuple[str, str], bool, str, str]]:
     """(start, end, core, the two words before, whether the node before is adjacent, the text
-    between it and this one if so)."""
+    between it and this one if so, what introduces it)."""
+    cues = introduced(text)
+    cores = {core for kind, core in cues.values() if kind != "iban"}
     out: list = []
     last = -1  # the end of the run before
     ends_in_node = False
-    for m in _NODE.finditer(text):
-        found = pieces(m.group()) or [(0, m.group())]
-        near = ends_in_node and not text[last : m.start()].strip()
-        words: list[str] | None = None
+    before: list[str] = []
+    for m in (_RUN if cues else _NODE).finditer(text):
+        run = m.group()
+        if cues and not re.search("[0-9@]", run) and not any(c in cues for c in range(m.start(), m.end())) and cores.isdisjoint(c for _, c in pieces(run)):
+            continue
+        found = pieces(run) or [(0, run)]
+        gap = text[max(last, 0) : m.start()]
+        near = ends_in_node and not gap.strip()
+        # The last pieces of the gap have its last words, unless they are all punctuation.
+        words = _WORD.findall(" ".join(gap.rsplit(None, 3)[-3:]))
+        if len(words) < 2:
+            words = [*before, *_WORD.findall(gap)]
+        words = words[-2:]
         for at, core in found:
             start = m.start() + at
-            if re.search(r"[0-9@]", core):
-                if words is None:
-                    head = text[max(0, m.start() - 96) : m.start()]
-                    words = _WORD.findall(head)[-2:] + _WORD.findall(m.group()[:at])
-                out.append((start, start + len(core), core, ("", "", *words)[-2:], near, text[out[-1][1] : start] if near else ""))
+            cue = cues[start][0] if start in cues else "echo" if core in cores else ""
+            if cue or re.search(r"[0-9@]", core):
+                own = [*words, *_WORD.findall(run[:at])]
+                out.append((start, start + len(core), core, ("", "", *own)[-2:], near, text[out[-1][1] : start] if near else "", cue))
                 near = True
             else:
                 near = False
-            if words is not None:
-                words += _WORD.findall(core)
+        before = [*words, *_WORD.findall(run)][-2:]
         ends_in_node = near
         last = m.end()
     return out
@@ -236,7 +334,7 @@ def chain_of(nodes: list) -> tuple[list[list[str]], list[str], list[int]]:
     joined = [x[4] for x in nodes] + [False]
     kind, first = number_groups(nodes)
     features = [
-        node_features(cores[k], nodes[k][3], (cores[k - 1] if joined[k] else "", cores[k + 1] if joined[k + 1] else ""), kind[k])
+        node_features(cores[k], nodes[k][3], (cores[k - 1] if joined[k] else "", cores[k + 1] if joined[k + 1] else ""), kind[k], nodes[k][6])
         for k in range(len(nodes))
     ]
     whole: dict[int, str] = {}
@@ -310,7 +408,7 @@ def decode(text: str, model: Crf) -> list[tuple[int, int, str, float]]:
         if best[k] == 0:
             continue
         label, prob = LABELS[best[k]], float(p[k, best[k]])
-        continued = first[k] != k if label == "CARD" else label == "PHONE" and joined[k] and not cores[k].startswith("+") and not set(nodes[k][5]) & _LIST
+        continued = first[k] != k if label in ("CARD", "ID") else joined[k] and nodes[k][5].isspace() if label == "NAME" else label == "PHONE" and joined[k] and not cores[k].startswith("+") and not set(nodes[k][5]) & _LIST
         if continued and k and best[k - 1] == best[k]:
             out[-1] = (out[-1][0], nodes[k][1], label, min(out[-1][3], prob))
         else:
@@ -337,8 +435,38 @@ def _generated(rng: random.Random) -> list[tuple[list[str], list[int]]]:
         letters = rng.choice(["0123456789abcdef", "0123456789ABCDEFGHKLMNPRSTabcdefghkmnoprstuvwxyz"])
         return "a1" + "".join(rng.choice(letters) for _ in range(rng.choice([24, 32, 40])))
 
-    def item() -> tuple[list[str], list[int]]:
-        k = rng.randrange(28)
+    def item() -> tuple:  # tokens, labels, and what may be repeated bare
+        k = rng.randrange(36)
+        if k in (28, 29):
+            kind = rng.choice(["password", "passwd", "Password", "pwd", "secret", "token", "passphrase", "db_password"])
+            value = rng.choice([f"{word()}{digits(rng.randint(1, 4))}", f"{word()}{word()}", f"{word().title()}{digits(2)}!{word()}", word() + word()])
+            return ([f"{kind}{rng.choice('=:')}{value}"], [5], [value]) if rng.random() < 0.5 else ([f"{kind}{rng.choice(':=')}", value], [0, 5], [value])
+        if k == 30:
+            value = rng.choice(sorted(_PLAIN))
+            return [f"{rng.choice(['password', 'token', 'secret', 'api_key'])}{rng.choice(':=')}", value], [0, 0], [value]
+        if k in (31, 32):
+            parts = [word().title() + "ki" for _ in range(rng.randint(1, 3))]
+            lead = rng.choice([["Mr."], ["Mrs."], ["Dr."], ["Dr"], ["Herr"], ["Frau"], ["name:"], ["Name:"], ["my", "name", "is"], ["Prof."]])
+            return [*lead, *parts], [0] * len(lead) + [6] * len(parts), [parts[-1]]
+        if k == 33:
+            return [f"{rng.randint(1, 665):03}-{rng.randint(1, 99):02}-{rng.randint(1, 9999):04}"], [7]
+        if k == 34:
+            country, body = rng.choice(["DE", "FR", "GB", "ES"]), "".join(rng.choice("0123456789") for _ in range(18))
+            check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+            whole = f"{country}{check:02}{body}"
+            t = [whole] if rng.random() < 0.5 else [whole[i : i + 4] for i in range(0, len(whole), 4)]
+            return t, [7] * len(t)
+        if k == 35:
+            letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+            return rng.choice(
+                [
+                    (["AKIA" + "".join(rng.choice(letters) for _ in range(16))], [5]),
+                    ([f"ghp_{''.join(rng.choice(letters.lower()) for _ in range(30))}"], [5]),
+                    ([":".join(f"{rng.randrange(1 << 16):x}" for _ in range(8))], [4]),
+                    ([f"2001:db8::{rng.randrange(1, 1 << 16):x}:{rng.randrange(1, 1 << 16):x}"], [4]),
+                    ([rng.choice(["phone", "ring", "dial"]), f"0{digits(2)}", digits(7)], [0, 2, 2]),
+                ]
+            )
         if k == 14:
             return [rng.choice(["({})", "<{}>", "[{}]", "email:{}", "mail={}", "mailto:{}?x", "'{}'"]).format(mail())], [1]
         if k == 15:
@@ -404,13 +532,17 @@ def _generated(rng: random.Random) -> list[tuple[list[str], list[int]]]:
             for _ in range(rng.randint(0, 3)):
                 tokens.append(word())
                 labels.append(0)
-            t, y = item()
+            t, y, *bare = item()
             end = rng.choice(["", "", "", ".", ",", "!!", "###", "***", "%%%"])
             for _ in range(rng.choice([1, 1, 1, 2])):
                 tokens += [*t[:-1], t[-1] + end]
                 labels += y[: len(t)]
                 tokens.append(word())
                 labels.append(0)
+            for _ in range(rng.choice([0, 1, 2]) if bare else 0):
+                fill = [word() for _ in range(rng.randint(0, 5))]
+                tokens += [*fill, bare[0][0] + rng.choice(["", "", ".", ","]), word()]
+                labels += [0] * len(fill) + [y[-1], 0]
         out.append((tokens, labels))
     return out
 
@@ -418,7 +550,7 @@ def _generated(rng: random.Random) -> list[tuple[list[str], list[int]]]:
 @lru_cache(maxsize=4)
 def train(seed: int = 11) -> Crf:
     """The model, from generated text alone; nothing of the corpus goes into it."""
-    rows, labels, pairs, same = [], [], np.ones((len(LABELS), len(LABELS))), [1.0, 1.0]
+    rows, labels, left, skips = [], [], [], []
     for tokens, ys in _generated(random.Random(seed)):
         text = " ".join(tokens)
         starts, at = {}, 0
@@ -426,33 +558,37 @@ def train(seed: int = 11) -> Crf:
             starts[at] = y
             at += len(t) + 1
         nodes = nodes_of(text)
-        y = [starts[text.rfind(" ", 0, x[0]) + 1] for x in nodes]
         features, cores, _ = chain_of(nodes)
+        base = len(rows)
         rows += features
-        for k, x in enumerate(nodes):
-            labels.append(y[k])
-            if x[4]:
-                pairs[y[k - 1], y[k]] += 1
-        for a, b in skip_edges(cores):
-            same[int(y[a] == y[b])] += 1
+        labels += [starts[text.rfind(" ", 0, x[0]) + 1] for x in nodes]
+        left += [base + k - 1 if x[4] else -1 for k, x in enumerate(nodes)]
+        skips += [(base + a, base + b) for a, b in skip_edges(cores)]
     feature = {f: k for k, f in enumerate(sorted({f for r in rows for f in r}))}
-    x = np.zeros((len(rows), len(feature)))
-    for k, r in enumerate(rows):
-        x[k, [feature[f] for f in r]] = 1
-    y = np.eye(len(LABELS))[labels]
-    w = np.zeros((len(feature), len(LABELS)))
-    v = np.zeros_like(w)
+    n, k = len(rows), len(LABELS)
+    x = np.zeros((n, len(feature)))
+    for i, r in enumerate(rows):
+        x[i, [feature[f] for f in r]] = 1
+    y = np.eye(k)[labels]
+    # What each node sees of its neighbours' labels: that before it, that after it, and the sum over skip edges.
+    before, after, skipped = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
+    has = np.flatnonzero(np.array(left) >= 0)
+    before[has], after[np.array(left)[has]] = y[np.array(left)[has]], y[has]
+    for a, b in skips:
+        skipped[a] += y[b]
+        skipped[b] += y[a]
+    w, chain, skip = np.zeros((len(feature), k)), np.zeros((k, k)), 0.0
+    v, vc, vs = np.zeros_like(w), np.zeros_like(chain), 0.0
     for _ in range(600):
-        z = x @ w
+        z = x @ w + before @ chain + after @ chain.T + skip * skipped
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        g = x.T @ (p - y) / len(x) + 1e-5 * w
-        v = 0.9 * v - 2.0 * g
-        w += v
-    joint = pairs / pairs.sum()
-    lift = np.log(joint / (joint.sum(axis=1, keepdims=True) * joint.sum(axis=0, keepdims=True)))
-    # As pieces the chain's lift counts what the neighbour features know already, so it is halved.
-    return Crf(feature, w, np.clip(lift / 2, -1.5, 1.5), float(np.clip(np.log(same[1] / same[0]) / 2, 0, 2)))
+        g = (p - y) / n
+        v = 0.9 * v - 2.0 * (x.T @ g + 1e-5 * w)
+        vc = 0.9 * vc - 2.0 * (before.T @ g + (after.T @ g).T + 1e-3 * chain)
+        vs = 0.9 * vs - 0.5 * (float((g * skipped).sum()) + 1e-4 * skip)
+        w, chain, skip = w + v, chain + vc, max(0.0, skip + vs)
+    return Crf(feature, w, chain, skip)
 
 
 def find_entities(docs: DataFrame, model: Crf | None = None) -> DataFrame:
@@ -492,7 +628,11 @@ def redacted(text: str, crf: Crf) -> str:
 
 def redact(docs: DataFrame, model: Crf | None = None) -> DataFrame:
     """docs with each entity replaced by its label in angle brackets, and n_chars
-    (where there is one) set to the new length; rows without entities are unchanged."""
+    (where there is one) set to the new length; rows without entities are unchanged.
+
+    Null and empty texts, and null ids, stay as they are; repeated rows stay repeated; other
+    columns are carried whatever their names; a text of any length is read whole; an empty
+    table gives no rows.  Ties are as in `find_entities`."""
     model = model or train()
     weights = (model.feature, model.weights, model.chain, model.skip)
     at = docs.columns.index("text")
