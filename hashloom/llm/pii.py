@@ -60,18 +60,19 @@ _WITHIN = re.compile(rf"{_EMAIL.pattern}|(?<![\w.]){_IP.pattern}(?![\w]|\.\d)")
 _IP6 = re.compile(r"(?<![\w:])[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:])")
 _SSN = re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}")
 _IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
+_IBAN_HINT = re.compile(r"[A-Z][A-Z][0-9][0-9]")
 _VENDOR = re.compile(r"(?<!\w)(?:AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{20,}|xox[abprs]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w-]{10,}\.[\w-]+)(?!\w)")
 _CREDENTIAL = re.compile(
     r"(?i)(?<![^\W_])(?:pass(?:word|wd|phrase|code)|pwd|secret|token|api[ _-]?key|access[ _-]?key|credentials?|passwort|kennwort|contraseña|mot de passe)"
     r"[\"']?(?:\s*[:=]\s*|\s+is\s+(?=[\"']?\S*\d))[\"']?([^\s\"'<>,;()]+)"
 )
 _PERSON = re.compile(
-    r"(?<!\w)(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Mme|Madame|Monsieur|Signora?)\b\.?\s+|(?:[Nn]ame|NAME)\s*[:=]\s*|[Mm]y name is\s+)"
+    r"(?<!\w)(?:(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Señora?|Sra?|Mme|Madame|Monsieur|Signora?)\b\.?\s+|(?:[Nn]ame|NAME) ?[:=]\s*|[Mm]y name is\s+)"
     r"([A-ZÀ-Þ][\w'’-]+(?:[ \t]+[A-ZÀ-Þ][\w'’-]+){0,2})"
 )
 #: What has to be in a text (in small letters) for these to be looked for.
-_CREDENTIAL_HINTS = ("pass", "pwd", "secret", "token", "key", "credential", "kennwort", "contraseña")
-_PERSON_HINTS = ("Mr", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Se\u00f1or", "Sr", "Mme", "Ma", "Mo", "Signor", "ame", "AME")
+_CREDENTIAL_HINTS = ("password", "passwd", "passphrase", "passcode", "pwd", "secret", "token", "key", "credential", "passwort", "kennwort", "contraseña", "mot de passe")
+_PERSON_HINTS = ("Mr", "Ms", "Miss ", "Dr", "Prof", "Herr ", "Frau ", "Señor", "Sr", "Mme", "Madame ", "Monsieur ", "Signor", "ame:", "ame :", "ame=", "ame =", "AME:", "AME :", "AME=", "AME =", "y name is")
 _VENDOR_HINTS = ("AKIA", "gh", "sk-", "xox", "eyJ")
 #: Values that stand where a password could and are none.
 _PLAIN = frozenset("required optional none null true false string yes no empty here reset invalid expired changed wrong unknown missing new old value text type int the a your".split())
@@ -133,7 +134,7 @@ def introduced(text: str) -> dict[int, tuple[str, str]]:
     if any(h in text for h in _VENDOR_HINTS):
         for m in _VENDOR.finditer(text):
             add("vendor", m.start(), m.group())
-    for m in _IBAN.finditer(text):
+    for m in _IBAN.finditer(text) if _IBAN_HINT.search(text) else ():
         if iban(m.group()):
             add("iban", m.start(), m.group())
     return found
