@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import unicodedata
 import uuid
 
 import numpy as np
@@ -150,3 +151,16 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     full = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
     kept = np.concatenate([[0], np.cumsum(full)])
     return (flat if full.all() else flat.filter(pa.array(full))), kept[offsets]
+
+
+def folded(text: str) -> str:
+    """Without regard to case and to compatible forms of characters."""
+    if text.isascii():
+        return text.lower()
+    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
+
+
+def tokens(texts: list) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, letters, marks and digits in a row, and each text's place among them."""
+    plain = pa.array([folded(t) if t else "" for t in texts], pa.large_string())
+    return split_words(pc.replace_substring_regex(plain, r"[^\p{L}\p{M}\p{N}]+", " "))

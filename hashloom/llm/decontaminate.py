@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import math
 import re
-import unicodedata
 from collections import Counter
 from dataclasses import dataclass
 
@@ -32,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import BROADCAST_BYTES, map_arrow, sized_broadcast, split_words, without, written
+from .common import BROADCAST_BYTES, map_arrow, sized_broadcast, tokens, without, written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -47,19 +46,6 @@ SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double,
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-def folded(text: str) -> str:
-    """Without regard to case and to compatible forms of characters."""
-    if text.isascii():
-        return text.lower()
-    return unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", text).casefold())
-
-
-def tokens(texts: list) -> tuple[pa.Array, np.ndarray]:
-    """The words of all texts, letters, marks and digits in a row, and each text's place among them."""
-    plain = pa.array([folded(t) if t else "" for t in texts], pa.large_string())
-    return split_words(pc.replace_substring_regex(plain, r"[^\p{L}\p{M}\p{N}]+", " "))
-
-
 def words_of(text: str) -> list[str]:
     return tokens([text])[0].to_pylist()
 
