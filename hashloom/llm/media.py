@@ -1,6 +1,8 @@
 """Interleaved document sequences from HTML.
 
 A page becomes an array of parts in reading order: text, and references to media.
+Addresses are made absolute with the page's base element or else its address.  An image's address is the first of src (unless that is a placeholder that a
+lazy loader replaces), data-src, the largest of srcset or data-srcset, and that of a source of the same picture; a video's poster is an image of its own.
 A reference keeps its position, address, alternative text or caption, and the SHA-256
 digest of its payload where the page tells it: of a data URI's bytes, from an
 integrity attribute, or a digest that is part of the address.  Digests are joined with a table of
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow, written
 
 PART = "struct<position:int,kind:string,text:string,url:string,digest:string,caption:string>"
-SEQUENCE = f"page_key binary, page_id bigint, url string, parts array<{PART}>"
+SEQUENCE = f"page_key binary, page_id bigint, url string, parts array<{PART}>, held array<struct<digest:string,mime:string,payload_bytes:bigint>>"
 RESULT_PART = "struct<position:int,kind:string,text:string,url:string,digest:string,caption:string,mime:string,payload_bytes:bigint,resolved:boolean>"
 _KINDS = {"img": "image", "image": "image", "video": "video", "audio": "audio", "iframe": "embed", "embed": "embed", "object": "embed"}
 _RAW = {"script", "style"}
@@ -45,6 +47,7 @@ _EMPTY = {"template", "title"}  # of _QUIET, those without elements of the page
 _TRACKED = (_BREAKS - _VOID) | _QUIET
 _END_P = (_BREAKS | _FURNITURE) - {"br"}
 _BLANK = re.compile(r"\s+")
+_SRCSET = re.compile(r"[\s,]*(\S*[^\s,])(?:\s+([\d.]+)[wxh])?[^,]*(?:,|$)")
 _HEX64 = re.compile(r"(?<![0-9a-fA-F])[0-9a-fA-F]{64}(?![0-9a-fA-F])")
 
 
@@ -79,6 +82,20 @@ def digest_of(url: str, attrs: dict) -> str | None:
     return m.group().lower() if m else None
 
 
+def largest(srcset: str) -> str | None:
+    """The address with the largest width or density; of equal ones the first."""
+    found = [(float(m[2]) if m[2] and m[2].count(".") < 2 and m[2] != "." else 1.0, m[1]) for m in _SRCSET.finditer(srcset)]
+    return max(found, key=lambda x: x[0])[1] if found else None
+
+
+def address_of(attrs: dict) -> str:
+    src, later = (attrs.get("src") or "").strip(), (attrs.get("data-src") or attrs.get("data-original") or "").strip()
+    if later and src[:5].lower() in ("", "data:"):
+        return later
+    many = (attrs.get("srcset") or "").strip() or (attrs.get("data-srcset") or "").strip()
+    return src or (largest(many) if many else None) or (attrs.get("data") or attrs.get("href") or attrs.get("xlink:href") or "").strip()
+
+
 class _Open(NamedTuple):
     """An open element, and what there was before it."""
 
@@ -93,7 +110,8 @@ class _Open(NamedTuple):
 class _Reader(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
-        self.base = base
+        self.base, self.based = base, False
+        self.source: str | None = None  # of the open picture
         self.parts: list[dict] = []
         self.payloads: dict[str, tuple[str, bytes]] = {}
         self.buffer: list[str] = []
@@ -111,7 +129,9 @@ class _Reader(HTMLParser):
             self.parts.append({"kind": "text", "text": text, "url": None, "digest": None, "caption": None})
 
     def refer(self, kind: str, attrs: dict) -> None:
-        url = (attrs.get("src") or attrs.get("data") or attrs.get("data-src") or attrs.get("href") or attrs.get("xlink:href") or "").strip()
+        url = address_of(attrs)
+        if not url and kind == "image" and self.source:
+            url = self.source
         self.flush()
         if url[:5].lower() == "data:":
             digest, shown = digest_of(url, attrs), None
@@ -158,10 +178,24 @@ class _Reader(HTMLParser):
         known = dict(attrs)
         if tag in _END_P and self.open and self.open[-1].tag == "p":
             self.leave("p")
+        if tag == "base" and known.get("href") and not self.based:
+            self.based = True
+            try:
+                self.base = urljoin(self.base, known["href"].strip())
+            except ValueError:
+                pass
+        elif tag == "picture":
+            self.source = None
         if tag in _KINDS:
+            if tag == "video" and known.get("poster"):
+                self.refer("image", {"src": known["poster"], "title": known.get("title")})
             self.refer(_KINDS[tag], known)
+            if tag == "img":
+                self.source = None
             if tag in _QUIET:
                 self.enter(tag, self.parts[-1])
+        elif tag == "source" and (known.get("srcset") or known.get("data-srcset")) and not (self.count["video"] or self.count["audio"]):
+            self.source = self.source or largest(known.get("srcset") or known["data-srcset"])
         elif tag == "source" and known.get("src"):
             part = next((o.media for o in reversed(self.open) if o.media), None) if self.count["video"] or self.count["audio"] else None
             if part and part["url"] is None and part["digest"] is None:
@@ -233,19 +267,22 @@ def read_page(html: str, base: str = "") -> tuple[list[dict], dict[str, tuple[st
 
 
 def sequences(pages: DataFrame) -> DataFrame:
-    """(page_key, page_id, url, parts) of each row of pages; page_key is a digest of
-    the row's id, address and text."""
+    """(page_key, page_id, url, parts, held) of each row of pages; page_key is a digest of
+    the row's id, address and text, held tells of the payloads in it."""
+    own = pa.list_(pa.struct([("digest", pa.string()), ("mime", pa.string()), ("payload_bytes", pa.int64())]))
     kind = pa.list_(pa.struct([("position", pa.int32()), *((n, pa.string()) for n in ("kind", "text", "url", "digest", "caption"))]))
 
     def run(batches):
         for b in batches:
             ids, urls = b.column(0).to_pylist(), b.column(1).to_pylist()
-            keys, parts = [], []
+            keys, parts, held = [], [], []
             for i, u, h in zip(ids, urls, b.column(2).to_pylist()):
                 keys.append(hashlib.blake2b(repr((i, u, h)).encode("utf-8", "replace"), digest_size=16).digest())
-                parts.append(read_page(h, u or "")[0] if h else [])
+                found, payloads = read_page(h, u or "") if h else ([], {})
+                parts.append(found)
+                held.append([{"digest": d, "mime": m, "payload_bytes": len(raw)} for d, (m, raw) in payloads.items()])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.binary()), b.column(0), b.column(1), pa.array(parts, kind)], names=["page_key", "page_id", "url", "parts"]
+                [pa.array(keys, pa.binary()), b.column(0), b.column(1), pa.array(parts, kind), pa.array(held, own)], names=["page_key", "page_id", "url", "parts", "held"]
             )
 
     picked = pages.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -274,12 +311,15 @@ def interleave(pages: DataFrame, payloads: DataFrame | None = None) -> DataFrame
     payload_bytes and resolved; a part of text has nulls for the others and resolved
     is null; a reference without digest, or whose digest is unknown, has resolved
     false.  A null or empty html gives no parts; null ids and addresses are carried;
-    repeated rows give a row each; other columns are not read; no pages give no rows.
+    repeated rows give a row each; other columns are not read; a page of any length is read whole; no pages give no rows.
+    What is left out of a page's text (navigation and the like) is told at the top of this module.
     """
     seqs = written(sequences(pages), "sequences")
     if payloads is None:
-        payloads = embedded_payloads(pages)
-    known = payloads.filter("digest is not null").groupBy(F.lower("digest").alias("digest")).agg(F.min("mime").alias("mime"), F.max(F.octet_length("payload")).cast("bigint").alias("payload_bytes"))
+        sizes = seqs.filter(F.size("held") > 0).select(F.explode("held").alias("h")).select("h.digest", "h.mime", "h.payload_bytes")
+    else:
+        sizes = payloads.filter("digest is not null").select(F.lower("digest").alias("digest"), "mime", F.octet_length("payload").cast("bigint").alias("payload_bytes"))
+    known = sizes.groupBy("digest").agg(F.min("mime").alias("mime"), F.max("payload_bytes").alias("payload_bytes"))
     has = F.exists("parts", lambda p: p["digest"].isNotNull())
     refs = seqs.filter(has).select("page_key", F.explode("parts").alias("p")).select("page_key", F.col("p.position").alias("position"), F.col("p.digest").alias("digest"))
     found = (

@@ -1,8 +1,11 @@
 import base64
 import hashlib
+import random
+
+import pytest
 
 from hashloom.llm import media
-from llm_data import CLASHING
+from llm_data import CLASHING, prose
 
 PIXEL = b"\x89PNG tiny"
 SHA = hashlib.sha256(PIXEL).hexdigest()
@@ -113,3 +116,57 @@ def test_media_of_elements_without_text():
     assert shown("<svg><title>no</title><image xlink:href=a /><text>no</text></svg><template>no<img src=b></template><script>no</script>") == ["a"]
     (p,) = media.read_page("<figure><img src=a><figcaption>said<svg><title>no</title></svg> <script>no</script>here<aside>no</aside></figcaption></figure>")[0]
     assert p["caption"] == "said here"
+
+
+@pytest.mark.parametrize(
+    "html, want",
+    [
+        ('<base href="/img/"><base href="/no/"><img src="a.png">', [("image", "https://e.example/img/a.png")]),
+        ('<img src="data:image/gif;base64,R0lGOA==" data-src="/real.jpg">', [("image", "https://e.example/real.jpg")]),
+        ('<img srcset="/s.jpg 320w, /l.jpg 1280w,/m.jpg 640w">', [("image", "https://e.example/l.jpg")]),
+        ('<img srcset="/one.jpg, /two.jpg 2x">', [("image", "https://e.example/two.jpg")]),
+        ('<img src="/plain.jpg" srcset="/two.jpg 2x">', [("image", "https://e.example/plain.jpg")]),
+        ('<picture><source srcset="/w.webp 1x, /w2.webp 2x"><img alt="x"></picture><img alt="y">', [("image", "https://e.example/w2.webp"), ("image", None)]),
+        ('<picture><source srcset="/w.webp"><img src="/f.jpg"></picture>', [("image", "https://e.example/f.jpg")]),
+        ('<video poster="/p.jpg" src="/v.mp4">old browser</video>', [("image", "https://e.example/p.jpg"), ("video", "https://e.example/v.mp4")]),
+        ('<noscript><img src="/lazy.jpg">text</noscript>', [("image", "https://e.example/lazy.jpg")]),
+        ('<video><source src="/a.webm"><source src="/b.mp4"></video>', [("video", "https://e.example/a.webm")]),
+    ],
+)
+def test_where_media_stand(html, want):
+    assert [(p["kind"], p["url"]) for p in media.read_page(html, "https://e.example/x")[0]] == want
+
+
+def test_generated_pages_against_what_was_written(spark):
+    """Pages with text, figures, data URIs and references by digest, whose sequences are known."""
+    rng = random.Random(41)
+    pages, want, store = [], {}, {}
+    for i in range(60):
+        html, parts = "<html><head><title>t</title></head><body><nav>menu</nav>", []
+        for _ in range(rng.randint(0, 12)):
+            kind = rng.randrange(4)
+            if kind == 0:
+                text = prose(rng, rng.randint(1, 30))
+                html += f"<p>{text}</p>"
+                parts.append(("text", text, None, None, None))
+            elif kind == 1:
+                raw = bytes(rng.randrange(256) for _ in range(rng.randint(0, 40)))
+                html += f'<img alt="x" src="data:image/png;base64,{base64.b64encode(raw).decode()}">'
+                parts.append(("image", None, "x", len(raw), True))
+            else:
+                digest = hashlib.sha256(str(rng.randrange(20)).encode()).hexdigest()
+                if int(digest, 16) % 3 and kind == 2:
+                    store[digest] = digest[:9].encode()
+                caption = prose(rng, 3)
+                html += f'<figure><img src="https://cdn.example/{digest}.png"><figcaption>{caption}</figcaption></figure>'
+                parts.append(("image", None, caption, digest, None))
+        pages.append((i, f"https://e.example/{i}", html + "</body></html>"))
+        want[i] = parts
+    df = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    held = media.embedded_payloads(df).unionByName(spark.createDataFrame([(d, "image/png", bytearray(b)) for d, b in store.items()], "digest string, mime string, payload binary"))
+    for payloads in (None, held):
+        known = {} if payloads is None else {d: len(b) for d, b in store.items()}
+        for r in media.interleave(df, payloads).collect():
+            got = [(p.kind, p.text, p.caption, p.payload_bytes, p.resolved) for p in r.parts]
+            assert [p.position for p in r.parts] == list(range(len(r.parts)))
+            assert got == [(k, t, c, known.get(n) if isinstance(n, str) else n, n in known if isinstance(n, str) else ok) for k, t, c, n, ok in want[r.page_id]]
