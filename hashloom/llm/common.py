@@ -108,8 +108,9 @@ def sample_texts(
     used = dict.fromkeys(classes, 0)
     for r in sorted(rows, key=lambda r: (rank_of[r.doc_id], r.doc_id)):
         c = chosen[r.doc_id]
-        if used[c] + len(r.text) <= max_bytes:
-            used[c] += len(r.text)
+        size = len(r.text.encode("utf-8", "replace"))
+        if used[c] + size <= max_bytes:
+            used[c] += size
             out[c].append((r.doc_id, r.text))
     return out
 

@@ -80,12 +80,15 @@ class Identifier:
 _known: dict[LanguageModel, Identifier] = {}
 
 
-def train(docs: DataFrame, per_language: int = 200, seed: int = 29, min_margin: float = MIN_MARGIN, max_languages: int = 400) -> LanguageModel:
+def train(docs: DataFrame, per_language: int = 200, seed: int = 29, min_margin: float = MIN_MARGIN, max_languages: int = 400, least: int = 3) -> LanguageModel:
     """A model from a bounded sample: `per_language` documents of each language
-    that docs.lang names.  More than max_languages different labels raise ValueError."""
-    langs = [r.lang for r in docs.select("lang").filter("lang is not null").distinct().limit(max_languages + 1).collect()]
-    if len(langs) > max_languages:
-        raise ValueError(f"lang holds more than {max_languages} different labels")
+    that docs.lang names.
+
+    Labels of fewer than `least` documents are strays and count as none, and so do
+    those after the `max_languages` most frequent (of equal ones the first by name).  Null labels, null ids and blank texts
+    are not drawn; an id with two labels is left out; no labels, or an empty table, give a model that predicts nothing."""
+    counts = docs.filter("lang is not null").groupBy("lang").count().filter(F.col("count") >= least)
+    langs = [r.lang for r in counts.orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
     return build_model(sample_texts(docs, docs, "lang", sorted(langs), per_language, seed), min_margin=min_margin)
 
 

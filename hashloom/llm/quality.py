@@ -3,7 +3,8 @@
 Two zstandard dictionaries are trained, one on good and one on bad labelled
 text.  A document's bytes are compressed with each; the difference of the two
 sizes, normalised by their sum, tells which it resembles.  A logistic fit on held-out
-labelled documents turns it into a probability.
+labelled documents, weighted so that the classes stand as they do among all labels, turns it into a probability.
+The fit also takes how far the text compresses at all: text that repeats itself is as small with either dictionary.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ BLOCK = 4096
 LEVEL = 3
 #: Bytes of no evidence that are added to every text, so that short ones aren't judged by a few.
 PRIOR = 64
+#: Documents that are less probably good go.  Where six in seven are good, these are the odds that 0.3 means in an even mix.
+THRESHOLD = 0.72
 
 
 @dataclass(frozen=True)
@@ -74,9 +77,9 @@ class Scorer:
         return diff, float(1 / (1 + np.exp(-np.clip(a * diff + b * np.log(ratio) + c, -30, 30))))
 
 
-def fit_model(sample: dict, dict_bytes: int = 96 << 10, threshold: float = 0.3) -> QualityModel:
+def fit_model(sample: dict, dict_bytes: int = 96 << 10, threshold: float = THRESHOLD, prior: float = 0.5) -> QualityModel:
     """A model from {1: [(doc_id, text)], 0: [...]}; seven in ten documents make
-    the dictionaries, the others the calibration."""
+    the dictionaries, the others the calibration.  prior is the share of good documents."""
     train = {c: [t for i, t in sample[c] if not held_out(i)] for c in (0, 1)}
     held = [(t, c) for c in (0, 1) for i, t in sample[c] if held_out(i)]
     (good, gt), (bad, bt) = (_dictionary(train[c], dict_bytes) for c in (1, 0))
@@ -86,7 +89,8 @@ def fit_model(sample: dict, dict_bytes: int = 96 << 10, threshold: float = 0.3)
     s = Scorer(draft)
     x = np.array([s.features(t) for t, _ in held])
     x[:, 1] = np.log(x[:, 1])
-    w = fit_logistic(x, np.array([c for _, c in held], float), l2=1e-2)
+    y = np.array([c for _, c in held], float)
+    w = fit_logistic(x, y, weight=np.where(y == 1, prior / y.mean(), (1 - prior) / (1 - y.mean())), l2=1e-2)
     return QualityModel(good, bad, gt, bt, tuple(map(float, w)), threshold)
 
 
@@ -101,9 +105,15 @@ def _scorer(model: QualityModel) -> Scorer:
     return _scorers[model]
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 400, seed: int = 17, threshold: float = 0.3) -> QualityModel:
-    """A model from a bounded sample: `per_class` labelled documents of each class."""
-    return fit_model(sample_texts(docs, labels, "quality", [0, 1], per_class, seed), threshold=threshold)
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 400, seed: int = 17, threshold: float = THRESHOLD) -> QualityModel:
+    """A model from a bounded sample: `per_class` labelled documents of each class.
+
+    The share of good ones is counted over all labels.  Null and contradicting labels, null ids and
+    blank texts are left out; a label that stands there twice counts once in the sample; without labels, or with those of one class, a
+    text's difference alone decides."""
+    n = {r.quality: r["count"] for r in labels.filter("quality in (0, 1)").groupBy("quality").count().collect()}
+    prior = n[1] / (n[0] + n[1]) if n.get(0) and n.get(1) else 0.5
+    return fit_model(sample_texts(docs, labels, "quality", [0, 1], per_class, seed), threshold=threshold, prior=prior)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

@@ -55,8 +55,10 @@ def test_awkward_rows(spark):
     assert [r.predicted for r in langid.identify(documents(spark, [(1, "words")]), empty).collect()] == [None]
 
 
-def test_too_many_languages(spark):
-    import pytest
-
-    with pytest.raises(ValueError):
-        langid.train(documents(spark, [(i, "w", f"l{i}") for i in range(5)]), max_languages=4)
+def test_stray_labels_and_too_many_languages(spark):
+    rows = corpus()
+    strays = [(1000 + k, "some words of a stray label", f"x{k}") for k in range(500)]
+    model = langid.train(documents(spark, rows + strays))
+    assert [lang for lang, _ in model.content] == sorted({lang for *_, lang in rows})
+    assert len(langid.identify(documents(spark, rows[:5] + strays), model).collect()) == 505
+    assert len(langid.train(documents(spark, rows), max_languages=2).content) == 2

@@ -25,6 +25,16 @@ def test_held_out_accuracy_and_probabilities(spark):
     assert abs(sum(r.p_good for r in got.values()) / 300 - 0.5) < 0.05
 
 
+def test_probabilities_at_an_uneven_mix(spark):
+    """Six in seven labels are good, and the probabilities say so, though the sample is even."""
+    rng = random.Random(3)
+    rows = [(i, junk(rng, rng.randint(4, 40)) if i % 7 == 0 else f"{prose(rng, rng.randint(1, 30))} {junk(rng, rng.randint(0, 6))}") for i in range(1400)]
+    marks = spark.createDataFrame([(i, int(i % 7 != 0), 0) for i, _ in rows[:700]], "doc_id bigint, quality int, toxic int")
+    model = quality.train(documents(spark, rows), marks, per_class=100)
+    p = [r.p_good for r in quality.score(documents(spark, rows[700:]), model).collect()]
+    assert abs(sum(p) / len(p) - 6 / 7) < 0.04
+
+
 def test_sizes_against_plain_compression(spark):
     rows = corpus()[:80]
     model = quality.fit_model({c: [r for r in rows if r[0] % 2 == c] for c in (0, 1)}, dict_bytes=4096)
