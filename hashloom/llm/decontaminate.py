@@ -10,9 +10,9 @@ question and of its answer.
 
 Items and passages go through the same `tokens`.  Document frequencies and shares are made by
 Spark; the postings fall into index shards by item, of ITEMS items each.  A passage is only
-queried in a shard of which it holds an essential term: the rest of an item's terms together
-stay below the threshold, so no item is lost by that.  The essential terms' hashes are all that is
-broadcast.  Passages that hold one meet their shard's postings in tasks of bounded size.
+queried in a shard if the largest shares that its terms have there together reach the threshold, as
+no item can score more than that.  The terms' hashes with these maxima are all that is
+broadcast.  The passages meet their shards' postings in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .common import BROADCAST_BYTES, map_arrow, sized_broadcast, tokens, without, written
+from .common import map_arrow, sized_broadcast, tokens, without, written
 
 K1, B = 1.2, 0.75
 BLOCK = 16
@@ -41,6 +41,8 @@ OVERLAP = 0.5
 PASSAGE_WORDS = 128
 #: Items of an index shard, and passages that meet one in a task.
 ITEMS, PASSAGES = 4096, 20000
+#: Bytes of term bounds that are broadcast at once: about 70,000 items.
+LIMIT = 64 << 20
 _SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
 _A, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -200,30 +202,54 @@ def leaks_in(index: Index, held: np.ndarray, theta: float, overlap: float) -> li
     return out
 
 
-def passages(flat: pa.Array, offsets: np.ndarray, known: np.ndarray, width: int):
-    """(text, first word, terms, places in known) of each passage that holds one of the known terms (sorted)."""
-    if len(flat) < 2 or not len(known):
+@dataclass
+class Bounds:
+    """The largest share of each term in each index shard: rows by term."""
+
+    term: np.ndarray
+    shard: np.ndarray
+    most: np.ndarray
+
+    def __post_init__(self):
+        order = np.argsort(self.term, kind="stable")
+        self.term, self.shard, self.most = self.term[order], self.shard[order], self.most[order]
+        self.distinct, self.first = np.unique(self.term, return_index=True)
+        self.first = np.append(self.first, len(self.term))
+
+
+def passages(flat: pa.Array, offsets: np.ndarray, bounds: Bounds, width: int, theta: float):
+    """(text, first word, terms, shard) of each passage and shard in which it could reach theta."""
+    if len(flat) < 2 or not len(bounds.term):
         return
     term = pair_hashes(flat)
     inner = np.ones(len(term), bool)
     ends = offsets[1:-1]
     inner[ends[(ends > 0) & (ends < len(flat))] - 1] = False  # a pair doesn't reach into the next text
-    at = np.minimum(np.searchsorted(known, term), len(known) - 1)
-    marked = np.flatnonzero((known[at] == term) & inner)
+    at = np.minimum(np.searchsorted(bounds.distinct, term), len(bounds.distinct) - 1)
+    marked = np.flatnonzero((bounds.distinct[at] == term) & inner)
     rows = np.searchsorted(offsets, marked, side="right") - 1
     step = width // 2
-    for r in np.unique(rows).tolist():
-        lo, hi = int(offsets[r]), int(offsets[r + 1]) - 1
-        own = marked[np.searchsorted(rows, r) : np.searchsorted(rows, r, side="right")]
-        place = own - lo
-        for s in sorted({s for p in np.unique(place // step).tolist() for s in (p * step, p * step - step) if s >= 0}):
-            inside = own[(place >= s) & (place < s + width - 1)]
-            if len(inside):
-                yield r, s, np.unique(term[lo + s : min(hi, lo + s + width - 1)]), np.unique(at[inside])
+    place = marked - offsets[rows]
+    last = place // step  # the last passage that holds it; the one before does too, but for its final word
+    before = (last > 0) & (place - (last - 1) * step < width - 1)
+    most = int(last.max()) + 1 if len(last) else 1
+    number = np.concatenate([rows * most + last, (rows * most + last - 1)[before]])
+    held = np.concatenate([at[marked], at[marked][before]])
+    passage, where = np.unique(number, return_inverse=True)
+    once = np.unique(where * len(bounds.distinct) + held)
+    where, held = once // len(bounds.distinct), once % len(bounds.distinct)
+    n = bounds.first[held + 1] - bounds.first[held]
+    row = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(bounds.first[held], n)
+    shards, which = np.unique(bounds.shard[row], return_inverse=True)
+    pairs, group = np.unique(np.repeat(where, n) * len(shards) + which, return_inverse=True)
+    for k in pairs[np.bincount(group, bounds.most[row], minlength=len(pairs)) >= theta - 1e-6].tolist():
+        r, s = divmod(int(passage[k // len(shards)]), most)
+        lo, hi = int(offsets[r]) + s * step, int(offsets[r + 1]) - 1
+        yield r, s * step, np.unique(term[lo : min(hi, lo + width - 1)]), int(shards[k % len(shards)])
 
 
 def postings(benchmark: DataFrame, theta: float, items_a_shard: int) -> tuple[DataFrame, int]:
-    """Written (shard, item_id, version, term, share, in_q, in_a, essential), and the width of passages."""
+    """Written (shard, item_id, version, term, share, in_q, in_a), and the width of passages."""
     items = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("string").alias("text")).filter("item_id is not null and text is not null").distinct()
 
     def run(batches):
@@ -246,18 +272,16 @@ def postings(benchmark: DataFrame, theta: float, items_a_shard: int) -> tuple[Da
     idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = K1 * (1 - B + B * F.col("pairs") / F.lit((total or 1) / max(n, 1)))
     shares = raw.join(df, "term").withColumn("raw", idf * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).withColumn("share", F.col("raw") / F.sum("raw").over(item))
-    # Long words are rare ones: they make the fewest passages candidates.
-    before = F.coalesce(F.sum("share").over(item.orderBy(F.desc("shorter"), F.desc("both"), "term").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     shard = F.pmod(F.xxhash64("item_id", "version"), F.lit(max(1, math.ceil(n / items_a_shard)))).cast("int")
-    out = shares.select(shard.alias("shard"), "item_id", "version", "term", "share", "in_q", "in_a", (1 - before >= theta - 1e-9).alias("essential"))
+    out = shares.select(shard.alias("shard"), "item_id", "version", "term", "share", "in_q", "in_a")
     return written(out, "postings"), width
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, overlap: float = OVERLAP, limit: int = BROADCAST_BYTES, items_a_shard: int = ITEMS) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, overlap: float = OVERLAP, limit: int = LIMIT, items_a_shard: int = ITEMS) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word) of each
     benchmark item that leaked into each row of docs: its best passage, of equal ones the first.
 
-    At most `limit` bytes of essential terms are broadcast; those of a larger benchmark are
+    At most about `limit` bytes of term bounds are broadcast (20 a term); those of a larger benchmark are
     broadcast in parts, and docs is read once for each.  Null and empty texts hold no
     passage; items with null id or text, or with fewer than two words, match
     nothing; items with one id are told apart by text.  A text of any length is read whole.  A null
@@ -266,30 +290,25 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, theta: float = THETA, over
     """
     spark = docs.sparkSession
     index_rows, width = postings(benchmark, theta, items_a_shard)
-    essential = written(index_rows.filter("essential").select("term", "shard").distinct(), "essential")
-    n = essential.count()
+    most = written(index_rows.groupBy("shard", "term").agg(F.max("share").alias("most")), "bounds")
+    n = most.count()
     if not n:
         return spark.createDataFrame([], SCHEMA)
-    parts = max(1, math.ceil(12 * n / limit))
+    parts = max(1, math.ceil(20 * n / limit))
     picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     candidates = "part int, shard int, doc_id bigint, h1 bigint, h2 bigint, start bigint, terms array<bigint>"
 
     def probe(part: int) -> DataFrame:
-        rows = essential.filter(F.pmod(F.xxhash64("term"), F.lit(parts)) == part).toArrow()
-        order = np.argsort(rows.column("term").to_numpy(), kind="stable")
-        known = spark.sparkContext.broadcast((rows.column("term").to_numpy()[order], rows.column("shard").to_numpy()[order]))
+        rows = most.filter(F.col("shard") % parts == part).toArrow()
+        known = spark.sparkContext.broadcast(Bounds(*(rows.column(c).to_numpy() for c in ("term", "shard", "most"))))
 
         def run(batches):
-            terms, shards = known.value
-            distinct, first = np.unique(terms, return_index=True)
-            first = np.append(first, len(terms))
             for b in batches:
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
                 out = []
-                for r, s, held, hits in passages(*tokens(texts), distinct, width):
+                for r, s, held, shard in passages(*tokens(texts), known.value, width, theta):
                     h = xxhash.xxh128_intdigest(texts[r].encode("utf-8", "replace"))
-                    row = (ids[r], (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), s, held)
-                    out += [(part, x, *row) for x in sorted({x for k in hits.tolist() for x in shards[first[k] : first[k + 1]].tolist()})]
+                    out.append((part, shard, ids[r], (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63), s, held))
                 cols = list(zip(*out)) if out else [[] for _ in range(7)]
                 kinds = (pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in candidates.split(", ")])

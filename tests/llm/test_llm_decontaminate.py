@@ -128,7 +128,8 @@ def test_every_item_equals_its_own_copy(words, changed):
     if D.words_of(copy) != D.words_of(text):
         copy = text
     flat, offsets = D.tokens(["other words here", copy, None])
-    found = list(D.passages(flat, offsets, np.unique(np.array([r[0] for r in rows], np.int64)), 128))
+    bounds = D.Bounds(np.array([r[0] for r in rows], np.int64), np.zeros(len(rows), np.int64), np.full(len(rows), 1 / max(1, len(rows))))
+    found = list(D.passages(flat, offsets, bounds, 128, 0.999))
     if not rows:
         assert found == []
         return
@@ -136,6 +137,28 @@ def test_every_item_equals_its_own_copy(words, changed):
     assert {(r, x[0], round(x[2], 9), x[3], x[4]) for r, _, held, _ in found for x in D.leaks_in(index, held, 0.999, 1.0)} == {(1, 5, 1.0, 1.0, 1.0)}
 
 
+def test_passages_against_each_window():
+    """Every window of every text, shard by shard, by sets."""
+    rng = random.Random(3)
+    words = [prose(rng, 1) for _ in range(60)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice([0, 1, 2, 3, 7, 8, 9, 15, 16, 17, 40, 90]))) for _ in range(60)] + [None, ""]
+    flat, offsets = D.tokens(texts)
+    terms = np.unique(D.pair_hashes(flat))
+    rows = [(int(t), s, rng.random()) for t in rng.sample(terms.tolist(), len(terms) // 2) for s in rng.sample(range(3), rng.randint(1, 3))]
+    for width, theta in ((8, 1.5), (16, 3.0), (16, 0.0)):
+        got = sorted((r, s, tuple(h), k) for r, s, h, k in D.passages(flat, offsets, D.Bounds(*(np.array(c) for c in zip(*rows))), width, theta))
+        want = []
+        for r, text in enumerate(texts):
+            h = D.pair_hashes(D.tokens([text])[0]).tolist() if text and " " in text else []
+            for s in range(0, len(h) + 1, width // 2):
+                inside = set(h[s : s + width - 1])
+                for k in range(3):
+                    own = [m for t, x, m in rows if x == k and t in inside]
+                    if own and sum(own) >= theta:
+                        want.append((r, s, tuple(sorted(inside)), k))
+        assert got == sorted(want)
+
+
 def test_other_scripts_end_to_end(spark):
     tests = [(1, "ΠΟΙΟΣ ΕΙΝΑΙ Ο ΜΕΓΑΛΟΣ ΠΟΤΑΜΟΣ ΤΗΣ ΧΩΡΑΣ; Ο ΝΕΙΛΟΣ ΕΙΝΑΙ Ο ΜΕΓΑΛΟΣ ΠΟΤΑΜΟΣ."), (2, "İSTANBUL HANGİ İLDİR VE NERESİDİR? ÇOK BÜYÜK BİR ŞEHİRDİR İSTANBUL.")]
     rows = [(10, tests[0][1]), (11, f"x y {tests[1][1]} z"), (12, tests[0][1].lower()), (13, tests[0][1].casefold())]
