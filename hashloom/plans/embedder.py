@@ -16,13 +16,21 @@ from ..functions import vectors as V
 from ..functions.hashing import feature_hash, let, mask_of
 from ..operators import longform as L
 from ..operators.kernel import Kernel, slices
-from ..session import ship_package
+from ..session import ship_package, written
 
 #: IDF weights are broadcast up to this size; beyond it they are joined.
 BROADCAST_BYTES = 64 << 20
 ENGINES = ("arrow", "catalyst")
 
 
+def _is_utf8(data: bytes) -> bool:
+    try:
+        data.decode("utf-8")
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class Embedder:
     """Turns a binary or string column into vectors.
 
@@ -50,7 +58,8 @@ class Embedder:
         stop = [] if self.config.strict_compat else self.stop_lines
         n = df.count()
         long = L.explode_vectors(Embedder(counts, self.engine, stop).transform(df.select(column), column), keys=[])
-        return Embedder(self.config, self.engine, self.stop_lines, L.idf_weights(long, n))
+        # Written once: counting, collecting and joining them don't embed all rows again.
+        return Embedder(self.config, self.engine, self.stop_lines, written(L.idf_weights(long, n), "idf"))
 
     # ---- transforming
 
@@ -116,6 +125,8 @@ class Embedder:
         if c.reverse_str:
             data = P.reverse_bytes(data)
         if self.stop_lines:
+            if any(not _is_utf8(s) for s in self.stop_lines):
+                raise ValueError("the catalyst engine works on text: stop tokens must be UTF-8 (the arrow engine takes any bytes)")
             stop = [P.decode_bytes(s.rstrip(b"\r\n")).decode("utf-8") for s in self.stop_lines if s.strip(b"\r\n")]
             data = P.stop_filter(data, stop, c.delims)
         return data
@@ -172,8 +183,30 @@ class Embedder:
         return picked.mapInArrow(run, "row_id bigint, part int, at bigint, dim bigint, feat binary")
 
     def dictionary(self, df: DataFrame, row_id: str = "row_id", column: str = "data", chunked: bool = False) -> DataFrame:
-        """The feature dictionary of df; `chunked` keeps one for each chunk_size rows."""
-        named = self.named(df, row_id, column)
-        if chunked:
-            named = named.withColumn("chunk", F.floor(F.col("row_id") / self.config.chunk_size))
-        return L.dictionary(named, ["chunk"] if chunked else None)
+        """The feature dictionary of df; `chunked` keeps one for each chunk_size rows.
+
+        Each batch gives a row for each of its distinct n-grams, with the first place and the count."""
+        ship_package(df.sparkSession)
+        kernel, chunk_size = self._kernel(), self.config.chunk_size if chunked else 0
+
+        def run(batches):
+            for b in slices(batches):
+                ids = b.column(0).to_pylist()
+                seen: dict[tuple, list] = {}
+                for at, (row, dim, feat) in enumerate(kernel.named(b.column(1).to_pylist())):
+                    i = ids[row]
+                    key = (i // chunk_size if chunk_size and i is not None else None, dim, feat)
+                    known = seen.get(key)
+                    if known is None:
+                        seen[key] = [i, at, 1]
+                        continue
+                    known[2] += 1
+                    if i is not None and (known[0] is None or i < known[0]):
+                        known[0], known[1] = i, at
+                cols = list(zip(*((*k, *v) for k, v in seen.items()))) if seen else [[] for _ in range(6)]
+                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["chunk", "dim", "feat", "row_id", "at", "n"])
+
+        picked = df.select(F.col(row_id).cast("bigint"), F.col(column).cast("binary"))
+        first = picked.mapInArrow(run, "chunk bigint, dim bigint, feat binary, row_id bigint, at bigint, n bigint")
+        return L.dictionary_of_firsts(first if chunked else first.drop("chunk"), ["chunk"] if chunked else None)

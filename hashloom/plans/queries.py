@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..operators import longform as L
 from ..session import shared_dir
 from ..sinks import writers as S
-from ..sources.readers import from_table
+from ..sources.readers import from_table, read_source
 from . import oracle as O
 from .embedder import Embedder
 
@@ -41,6 +41,13 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files_of(lines: DataFrame, name: str) -> str:
+    """A folder in the shared one with the column value as text files."""
+    path = f"{shared_dir(lines.sparkSession)}/{name}-{uuid.uuid4().hex[:12]}"
+    lines.write.text(path)
+    return path
+
+
 def _docs(spark, sf_dir) -> DataFrame:
     return from_table(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -190,16 +197,16 @@ for _kind in ("simhash", "minhash", "bloom"):
 # ---- vector algebra
 
 _AB = (
-    O.counts(PARTS).replace("feats AS (", "feats AS (", 1)
+    O.counts(DOCS).replace("feats AS (", "feats AS (", 1)
     + f""", b AS (SELECT row_id, (h & 4194303::UBIGINT)::BIGINT AS dim, count(*)::DOUBLE AS val FROM (
   SELECT row_id, x FROM grams WHERE pos = 0) JOIN hashed USING (x) GROUP BY ALL)"""
 )
 
 
 def _a_and_b(spark, sf_dir) -> DataFrame:
-    """Parts with the vector of the name and that of its first word."""
-    t = _table(spark, sf_dir, "part").select(F.col("p_partkey").cast("bigint").alias("row_id"), "p_name")
-    a = Embedder(Config()).transform(t.withColumn("first", F.substring_index("p_name", " ", 1)), "p_name", "a", ["row_id", "first"])
+    """Documents with the vector of the text and that of its first word."""
+    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("row_id"), "text")
+    a = Embedder(Config()).transform(t.withColumn("first", F.regexp_extract("text", "^[ \n\r]*([^ \n\r]*)", 1)), "text", "a", ["row_id", "first"])
     return Embedder(Config()).transform(a, "first", "b", ["row_id", "a"])
 
 
@@ -222,22 +229,22 @@ def vec_dot(spark, sf_dir):
     return _a_and_b(spark, sf_dir).select("row_id", V.dot(F.col("a"), F.col("b")).alias("dot")).filter("dot <> 0")
 
 
-@query(f"{O.counts(PARTS)} SELECT row_id, dim, val * 2.5 AS val FROM counts")
+@query(f"{O.counts(DOCS)} SELECT row_id, dim, val * 2.5 AS val FROM counts")
 def vec_mul(spark, sf_dir):
     return _vec(_a_and_b(spark, sf_dir), V.mul(F.col("a"), 2.5))
 
 
-@query(f"{O.counts(PARTS)} SELECT row_id, dim, round(log2(val)::FLOAT::DOUBLE, 6) AS val FROM counts")
+@query(f"{O.counts(DOCS)} SELECT row_id, dim, round(log2(val)::FLOAT::DOUBLE, 6) AS val FROM counts")
 def vec_log2(spark, sf_dir):
     return _vec(_a_and_b(spark, sf_dir), V.log2(F.col("a")))
 
 
-@query(f"{O.counts(PARTS)} SELECT row_id, dim, round((1.0 / val)::FLOAT::DOUBLE, 6) AS val FROM counts")
+@query(f"{O.counts(DOCS)} SELECT row_id, dim, round((1.0 / val)::FLOAT::DOUBLE, 6) AS val FROM counts")
 def vec_invert(spark, sf_dir):
     return _vec(_a_and_b(spark, sf_dir), V.invert(F.col("a")))
 
 
-@query(f"{O.counts(PARTS)} SELECT row_id, dim, 1.0::DOUBLE AS val FROM counts")
+@query(f"{O.counts(DOCS)} SELECT row_id, dim, 1.0::DOUBLE AS val FROM counts")
 def vec_binarize(spark, sf_dir):
     return _vec(_a_and_b(spark, sf_dir), V.binarize(F.col("a")))
 
@@ -365,7 +372,7 @@ def trim_blanks(spark, sf_dir):
 def label_regex(spark, sf_dir):
     t = _table(spark, sf_dir, "part")
     found = LB.regex_label(F.concat(F.lit("+"), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name")), Config().lines_regex)
-    return t.select("p_partkey", found["label"].cast("double").alias("label"), found["rest"].alias("rest"))
+    return t.select("p_partkey", found["label"].cast("double").alias("label"), found["rest"].cast("string").alias("rest"))
 
 
 @query(
@@ -384,12 +391,33 @@ def null_vectors_n3(spark, sf_dir):
     return out.select("row_id", F.size("vec").cast("bigint").alias("entries"))
 
 
-@query(f"{O.counts(PARTS, 3)} SELECT row_id, count(*) AS entries FROM counts GROUP BY row_id")
+@query(f"{O.counts(DOCS, 3)} SELECT row_id, count(*) AS entries FROM counts GROUP BY row_id")
 def skip_null(spark, sf_dir):
-    out = S.skip_null(Embedder(Config(ngram_len=3)).transform(_parts(spark, sf_dir).select("row_id", "data")))
+    out = S.skip_null(Embedder(Config(ngram_len=3)).transform(_docs(spark, sf_dir).select("row_id", "data")))
     return out.select("row_id", F.size("vec").cast("bigint").alias("entries"))
 
 
+# ---- sources, over files made of a table; \xe9 is no UTF-8
+
+def _bytes(text: str) -> F.Column:
+    return F.lit(bytearray(text.encode("latin-1"))).cast("string")
+
+
+@query("SELECT p_size::DOUBLE AS label, hex(encode(' caf')) || 'E9' || hex(encode(' ' || p_name)) AS data FROM part")
+def source_lines(spark, sf_dir):
+    t = _table(spark, sf_dir, "part").select(F.concat(F.lit("+"), F.col("p_size").cast("string"), F.lit(" caf"), _bytes("\xe9 "), "p_name").alias("value"))
+    got = read_source(spark, files_of(t, "lines"), Config())
+    return got.select(F.col("label").cast("double").alias("label"), F.hex("data").alias("data"))
+
+
+@query("SELECT DISTINCT p_partkey::DOUBLE AS label, hex(encode(replace(p_name, ' ', ''))) || 'E9' AS data FROM part")
+def source_fasta(spark, sf_dir):
+    words = F.concat_ws("\n", F.split("p_name", " "))
+    t = _table(spark, sf_dir, "part").select(F.concat(F.lit("> part "), F.col("p_partkey").cast("string"), F.lit(" of all\n  "), words, _bytes("\xe9")).alias("value"))
+    got = read_source(spark, files_of(t, "fasta"), Config(input_format="fasta", fasta_regex=" [0-9]+"))
+    return got.select(F.col("label").cast("double").alias("label"), F.hex("data").alias("data")).distinct()
+
+
 _CELL = "(dim + 1)::VARCHAR || ':' || val::BIGINT::VARCHAR"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -31,9 +32,11 @@ def _sweep(spark: SparkSession, path: str) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """This application's folder under spark.checkpoint.dir, which all executors
-    share; it is emptied when the driver ends.  Where the setting is missing (tests), a
-    temporary folder is used."""
+    share; it is emptied when the driver ends.  Where the setting is missing, a
+    temporary folder is used in local mode (tests), and a cluster raises ValueError."""
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="hashloom-")
         spark.conf.set("spark.checkpoint.dir", base)
@@ -44,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def written(df, tag: str):
+    """df, written to the shared folder and read again; it is gone when the driver ends."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends this package's source to the executors, once an application, so that
     their Python workers can import it wherever the driver was started."""

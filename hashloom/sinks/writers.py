@@ -6,11 +6,14 @@ writes one local file instead, in the order of row_id.
 
 from __future__ import annotations
 
+import json
 import logging
 import sys
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,35 +46,54 @@ def with_features(df: DataFrame, dictionary: DataFrame, keys: tuple[str, ...] =
     return df.join(packed, list(keys), "left").withColumn("feats", F.coalesce("feats", F.map_from_arrays(F.array(), F.array()).cast(FEATS)))
 
 
-def _line(kind: str, with_feats: bool) -> Callable:
-    def one(src, label, vec, feats):
-        cells = T.pairs(vec)
-        named = dict(feats) if with_feats and feats is not None else {} if with_feats else None
-        if kind == "libsvm":
-            return T.libsvm_line(cells, label or 0.0, src)
-        if kind == "json":
-            return T.json_record(cells, src, named)
-        if kind == "cluto":
-            return T.cluto_line(cells)
-        return T.text_line(cells, src, named)
+def _with_features(src: list, vec: list, feats: list, kind: str) -> list[str]:
+    one = T.json_record if kind == "json" else T.text_line
+    return [one(T.pairs(v), s, dict(f) if f is not None else {}) for s, v, f in zip(src, vec, feats)]
 
-    return one
+
+def _lines(src: pa.Array, label: pa.Array, vec: pa.Array, kind: str) -> pa.Array:
+    """The lines of a batch; each cell is made by Arrow's kernels, and %g runs once for each distinct value."""
+    cells, size = vec.flatten(), pc.fill_null(pc.list_value_length(vec), 0).to_numpy().astype(np.int64)
+    dims = pa.array(cells.field(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(1)).cast(pa.string())
+    known, which = np.unique(cells.field(1).to_numpy(zero_copy_only=False).view(np.int32), return_inverse=True)  # by their bits: nan and -0 stay apart
+    vals = pa.array([T.g6(float(v)) for v in known.view(np.float32)], pa.string()).take(pa.array(which.reshape(-1)))
+    ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+
+    def joined(parts: pa.Array, by: str) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(ends, parts), by)
+
+    def cell(between: str) -> pa.Array:
+        return pc.binary_join_element_wise(dims, vals, between)
+
+    said = pc.fill_null(src, "")
+    named = pc.not_equal(said, "")
+    if kind == "json":
+        shown = pa.array([json.dumps(s) for s in said.to_pylist()], pa.string())
+        return pc.binary_join_element_wise('{"dim":[', joined(dims, ","), '],"val":[', joined(vals, ","), '],"src":', shown, "}", "")
+    if kind == "cluto":
+        return joined(cell(" "), " ")
+    if kind == "libsvm":
+        marks = pa.array([T.g6(x or 0.0) for x in label.to_pylist()], pa.string())
+        full = pa.array(np.where(size > 0, " ", ""))
+        return pc.binary_join_element_wise(marks, " ", joined(cell(":"), " "), full, pc.if_else(named, pc.binary_join_element_wise("# ", said, ""), ""), "")
+    return pc.binary_join_element_wise(joined(cell("::"), ","), pc.if_else(named, pc.binary_join_element_wise(" # ", said, ""), ""), "")
 
 
 def formatted(df: DataFrame, kind: str) -> DataFrame:
     """(row_id, value): each row as a line of the format."""
     ship_package(df.sparkSession)
-    with_feats = "feats" in df.columns
-    one = _line(kind, with_feats)
-    feats = F.col("feats") if with_feats else F.lit(None).cast(FEATS)
+    with_feats = "feats" in df.columns and kind not in ("libsvm", "cluto")
+    picked = [F.col("row_id").cast("bigint"), F.col("src").cast("string").alias("src"), F.col("label").cast("float").alias("label"), F.col("vec").cast(V.VECTOR).alias("vec")]
 
     def run(batches):
         for b in batches:
-            cols = [b.column(k).to_pylist() for k in range(1, 5)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(*r) for r in zip(*cols)], pa.string())], names=["row_id", "value"])
+            if with_feats:
+                value = pa.array(_with_features(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), kind), pa.string())
+            else:
+                value = _lines(b.column(1), b.column(2), b.column(3), kind).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([b.column(0), value], names=["row_id", "value"])
 
-    picked = df.select(F.col("row_id").cast("bigint"), "src", "label", F.col("vec").cast(V.VECTOR).alias("vec"), feats.alias("feats"))
-    return picked.mapInArrow(run, "row_id bigint, value string")
+    return df.select(*picked, *(["feats"] if with_feats else [])).mapInArrow(run, "row_id bigint, value string")
 
 
 def cluto_header(df: DataFrame, bits: int) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import logging
+import re
 import sys
 import tarfile
 import zipfile
@@ -15,7 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
-from ..functions.labels import regex_label, suffix_label
+from ..functions.labels import as_latin1, from_latin1, regex_label, suffix_label
 from ..functions.preprocess import strip_newline, trim_blanks
 from ..session import ship_package
 
@@ -23,11 +24,19 @@ log = logging.getLogger("hashloom")
 COLUMNS = ("row_id", "src", "label", "data")
 
 
+#: A table with a row for each file or block is broadcast up to so many rows (of about 100 bytes); beyond, the join shuffles.
+BROADCAST_ROWS = 500_000
+
+
+def _sized(df: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, block, line, value): the lines of text files, numbered from 0 in each file's
     own order.
 
-    A line ends at a line feed only.  Numbers come from the places of lines within the
+    A line ends at a line feed only, and value has its bytes, of whatever encoding (as text with a character for each byte).  Numbers come from the places of lines within the
     blocks that a file is read in and the blocks' line counts, so no line is moved.
     """
     raw = spark.read.option("lineSep", "\n").text(path).select(
@@ -36,7 +45,10 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     blocks = raw.groupBy("path", "block").agg(F.count("*").alias("n"), F.min("__m").alias("__first"))
     before = F.coalesce(F.sum("n").over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = blocks.select("path", "block", "__first", before.alias("__before"))
-    return raw.join(F.broadcast(starts), ["path", "block"]).select("path", "block", (F.col("__before") + F.col("__m") - F.col("__first")).alias("line"), "value")
+    n = len(raw.inputFiles()) + raw.rdd.getNumPartitions()
+    out = raw.join(_sized(starts, n), ["path", "block"]).select("path", "block", (F.col("__before") + F.col("__m") - F.col("__first")).alias("line"), as_latin1(F.col("value")).alias("value"))
+    out.blocks = n
+    return out
 
 
 def _listed(spark: SparkSession, path: str):
@@ -56,15 +68,16 @@ def _unterminated(spark: SparkSession, path: str) -> list[str]:
             stream = fs.open(f.getPath())
             stream.seek(f.getLen() - 1)
             if stream.read() != 10:
-                out.append(f.getPath().toString())
+                # as a metadata column shows it: escaped or not
+                out += sorted({f.getPath().toString(), f.getPath().toUri().toString()})
             stream.close()
     return out
 
 
 def _labelled(lines: DataFrame, pattern: str) -> DataFrame:
     """(row_id, src, label, data) from (row_id, src, value)."""
-    found = lines.withColumn("__l", regex_label(F.col("value"), pattern))
-    return found.select(F.col("row_id").cast("bigint"), "src", F.col("__l.label").alias("label"), F.col("__l.rest").cast("binary").alias("data"))
+    found = lines.withColumn("__l", regex_label(from_latin1(F.col("value")), pattern))
+    return found.select(F.col("row_id").cast("bigint"), "src", F.col("__l.label").alias("label"), F.col("__l.rest").alias("data"))
 
 
 def lines(spark: SparkSession, path: str, config: Config = Config()) -> DataFrame:
@@ -75,19 +88,18 @@ def lines(spark: SparkSession, path: str, config: Config = Config()) -> DataFram
     and a line ends at its first zero byte.
     """
     rows = numbered_lines(spark, path)
+    blocks = rows.blocks  # of which files have at least one
     if config.strict_compat:
         lost = _unterminated(spark, path)
         if lost:
             last = rows.groupBy("path").agg(F.max("line").alias("__last"))
-            name = F.regexp_extract("path", "([^/]*)$", 1)
-            ends = F.lit(False)
-            for p in lost:
-                ends = ends | (name == p.rsplit("/", 1)[-1])
-            rows = rows.join(F.broadcast(last), "path").filter(~(ends & (F.col("line") == F.col("__last")))).drop("__last")
+            plain = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+            ends = plain(F.col("path")).isin([re.sub("^([a-z0-9]+):/+", r"\1:/", p) for p in lost])
+            rows = rows.join(_sized(last, blocks), "path").filter(~(ends & (F.col("line") == F.col("__last")))).drop("__last")
         rows = rows.withColumn("value", F.substring_index("value", "\0", 1))
     sizes = rows.groupBy("path").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("path", before.alias("__offset")))
+    offsets = _sized(sizes.select("path", before.alias("__offset")), blocks)
     row_id = F.col("__offset") + F.col("line")
     numbered = rows.join(offsets, "path").select(row_id.alias("row_id"), F.concat(F.lit("line"), row_id.cast("string")).alias("src"), strip_newline(F.col("value")).alias("value"))
     return _labelled(numbered, config.lines_regex)
@@ -97,7 +109,7 @@ def stdin(spark: SparkSession, path: str = "-", config: Config = Config(), strea
     """A record for each line of the standard input, an unterminated last one too."""
     rows = [(n, f"line{n}", bytearray(r.rstrip(b"\r\n"))) for n, r in enumerate(stream or sys.stdin.buffer)]
     df = spark.createDataFrame(rows, "row_id bigint, src string, raw binary")
-    return _labelled(df.select("row_id", "src", F.col("raw").cast("string").alias("value")), config.lines_regex)
+    return _labelled(df.select("row_id", "src", as_latin1(F.col("raw")).alias("value")), config.lines_regex)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -154,10 +166,11 @@ def archive(spark: SparkSession, path: str, config: Config = Config()) -> DataFr
             cols = list(zip(*rows)) if rows else [[], [], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.binary()))], names=["path", "n", "src", "data"])
 
-    found = _files(spark, path).select("path", "content").mapInArrow(run, "path string, n bigint, src string, data binary")
+    files = _files(spark, path)
+    found = files.select("path", "content").mapInArrow(run, "path string, n bigint, src string, data binary")
     sizes = found.groupBy("path").agg(F.count("*").alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = F.broadcast(sizes.select("path", before.alias("__offset")))
+    offsets = _sized(sizes.select("path", before.alias("__offset")), len(files.inputFiles()))
     return found.join(offsets, "path").select((F.col("__offset") + F.col("n")).cast("bigint").alias("row_id"), "src", suffix_label(F.col("src")).alias("label"), "data")
 
 
@@ -169,7 +182,8 @@ def fasta(spark: SparkSession, path: str, config: Config = Config()) -> DataFram
     first header is skipped, and headers without a sequence give no record.  Records
     are numbered within blocks of a file and across them from the blocks' counts.
     """
-    rows = numbered_lines(spark, path).withColumn("value", trim_blanks(F.col("value"))).filter("value <> ''")
+    read = numbered_lines(spark, path)
+    rows = read.withColumn("value", trim_blanks(F.col("value"))).filter("value <> ''")
     rows = rows.withColumn("head", F.col("value").rlike("^[>;]"))
     in_block = W.partitionBy("path", "block").orderBy("line")
     marked = rows.withColumn("__prev", F.lag("head").over(in_block))
@@ -180,7 +194,7 @@ def fasta(spark: SparkSession, path: str, config: Config = Config()) -> DataFram
     by_block = W.partitionBy("path").orderBy("block")
     ends = ends.withColumn("__joined", (F.col("opens") & F.coalesce(F.lag("closes").over(by_block), F.lit(False))).cast("int"))
     carried = F.coalesce(F.sum(F.col("n") - F.col("__joined")).over(by_block.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = F.broadcast(ends.select("path", "block", "__joined", carried.alias("__before")))
+    starts = _sized(ends.select("path", "block", "__joined", carried.alias("__before")), read.blocks)
     grouped = marked.join(starts, ["path", "block"]).withColumn("__g", F.sum("__begins").over(in_block) - F.col("__joined") + F.col("__before"))
     records = (
         grouped.filter("__g > 0")
@@ -192,8 +206,9 @@ def fasta(spark: SparkSession, path: str, config: Config = Config()) -> DataFram
         .filter("seq <> ''")
     )
     ids = _ordered(records.select("path", "__g"), "path", "__g")
-    found = regex_label(F.col("src"), config.fasta_regex)["label"]
-    return records.join(ids, ["path", "__g"]).select(F.col("row_id").cast("bigint").alias("row_id"), "src", found.alias("label"), F.col("seq").cast("binary").alias("data"))
+    head = from_latin1(F.col("src"))
+    found = regex_label(head, config.fasta_regex)["label"]
+    return records.join(ids, ["path", "__g"]).select(F.col("row_id").cast("bigint").alias("row_id"), head.cast("string").alias("src"), found.alias("label"), from_latin1(F.col("seq")).alias("data"))
 
 
 def from_table(df: DataFrame, id_column: str, text_column: str, label_column: str | None = None, src_column: str | None = None) -> DataFrame:

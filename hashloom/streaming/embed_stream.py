@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config
-from ..functions.labels import regex_label
+from ..functions.labels import as_latin1, from_latin1, regex_label
 from ..functions.preprocess import strip_newline
 from ..plans.embedder import Embedder
 
@@ -24,8 +24,8 @@ def line_stream(spark: SparkSession, path: str, config: Config = Config(), files
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     raw = reader.text(path).select("value", F.col("_metadata.file_name").alias("src"))
-    found = raw.withColumn("__l", regex_label(strip_newline(F.col("value")), config.lines_regex))
-    return found.select("src", F.col("__l.label").alias("label"), F.col("__l.rest").cast("binary").alias("data"))
+    found = raw.withColumn("__l", regex_label(from_latin1(strip_newline(as_latin1(F.col("value")))), config.lines_regex))
+    return found.select("src", F.col("__l.label").alias("label"), F.col("__l.rest").alias("data"))
 
 
 def embed_stream(stream: DataFrame, embedder: Embedder, path: str, checkpoint: str, trigger: dict | None = None, column: str = "data") -> StreamingQuery:
@@ -49,5 +49,5 @@ def merged_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """The dictionary over all micro-batches: the earliest n-gram of a dim wins."""
     rows = spark.read.parquet(path)
     first = F.min_by("feat", "batch")
-    grouped = rows.groupBy("dim", "feat").agg(F.min("batch").alias("batch"), F.sum("insertions").alias("insertions"), F.sum("collisions").alias("collisions"))
+    grouped = rows.groupBy("dim", "feat").agg(F.min("batch").alias("batch"), F.sum("insertions").alias("insertions"))
     return grouped.groupBy("dim").agg(first.alias("feat"), F.sum("insertions").alias("insertions"))

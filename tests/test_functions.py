@@ -175,7 +175,7 @@ def test_preprocessing(spark):
 )
 def test_line_labels(spark, text, label, rest):
     x = one(spark, labels.regex_label(F.lit(text), Config().lines_regex))
-    assert (x.label, x.rest) == (label, rest)
+    assert (x.label, bytes(x.rest)) == (label, rest.encode())
 
 
 def test_other_labels(spark):
@@ -183,4 +183,6 @@ def test_other_labels(spark):
     for name, want in [("a.1", 1.0), ("b.-1", -1.0), ("c.txt", hashed(b"txt")), ("noext", hashed(b"noext")), (".5", 0.5), ("a.b/c", hashed(b"b/c")), ("x.1e2", 100.0), ("x.1f", hashed(b"1f"))]:
         assert one(spark, labels.suffix_label(F.lit(name))) == want, name
     assert one(spark, labels.regex_label(F.lit("> s2 -1 x"), Config().fasta_regex)).label == -1.0
-    assert one(spark, labels.regex_label(F.lit("ab=cat;"), "=[a-z]+"))["rest"] == ";"
+    assert one(spark, labels.regex_label(F.lit("ab=cat;"), "=[a-z]+"))["rest"] == b";"
+    x = one(spark, labels.regex_label(F.lit(bytearray(b"\xe9 7 caf\xe9")), " [0-9]+"))
+    assert (x.label, bytes(x.rest)) == (7.0, b" caf\xe9")

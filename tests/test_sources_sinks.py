@@ -36,6 +36,37 @@ def test_lines(spark, tmp_path):
     assert rows(stdin(spark, stream=io.BytesIO(b"1 a\nb"))) == [(0, "line0", 1.0, b" a"), (1, "line1", 0.0, b"b")]
 
 
+def test_bytes_that_are_no_text(spark, tmp_path):
+    raw = bytes(k for k in range(256) if k not in (10, 13))
+    (tmp_path / "a.txt").write_bytes(b"1 caf\xe9 x\n" + raw + b"\n")
+    assert [(r[2], r[3]) for r in rows(read_source(spark, str(tmp_path / "a.txt")))] == [(1.0, b" caf\xe9 x"), (0.0, raw)]
+    assert rows(stdin(spark, stream=io.BytesIO(b"1 caf\xe9 x")))[0][2:] == (1.0, b" caf\xe9 x")
+    (tmp_path / "b.fa").write_bytes(b"> s\xe9q +2\nA\xe9C\n \xff\n")
+    (r,) = rows(read_source(spark, str(tmp_path / "b.fa"), Config(input_format="fasta")))
+    assert r[2:] == (2.0, b"A\xe9C\xff")
+
+
+def test_strict_compat_looks_at_whole_paths(spark, tmp_path):
+    for name, data in (("a", b"1\n2"), ("b", b"3\n4\n"), ("c d", b"5\n6")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.txt").write_bytes(data)
+    got = rows(read_source(spark, str(tmp_path / "*" / "f.txt"), Config(strict_compat=True)))
+    assert [r[2] for r in got] == [1.0, 3.0, 4.0, 5.0]
+
+
+def test_lines_of_sinks_one_by_one(spark):
+    """The vectorised lines against each row's own, with odd values, sources and missing vectors."""
+    odd = [0.0, -0.0, 1.5, 1e-7, 123456789.0, float("inf"), float("nan"), 1 / 3]
+    data = [(k, s, label, v) for k, (s, label, v) in enumerate([("a b", 1.0, [(5, x) for x in odd]), (None, None, []), ("", -2.5, [(-1, 1.0), (0, 2.0)]), ('q"\u00e9', 0.1, None)])]
+    df = spark.createDataFrame(data, "row_id bigint, src string, label float, vec array<struct<dim:bigint,val:float>>").coalesce(1)
+    one = {
+        "libsvm": lambda r: formats.libsvm_line(formats.pairs(r.vec), r.label or 0.0, r.src), "text": lambda r: formats.text_line(formats.pairs(r.vec), r.src),
+        "json": lambda r: formats.json_record(formats.pairs(r.vec), r.src), "cluto": lambda r: formats.cluto_line(formats.pairs(r.vec)),
+    }
+    for kind, line in one.items():
+        assert {r.row_id: r.value for r in writers.formatted(df, kind).collect()} == {r.row_id: line(r) for r in df.collect()}
+
+
 def test_line_numbers_over_blocks(spark, tmp_path):
     (tmp_path / "n.txt").write_text("".join(f"x{k}\n" for k in range(5000)))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
