@@ -28,7 +28,7 @@ def _gather(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, room: int
     return out, first
 
 
-def slices(batches, most: int = 4 << 20):
+def slices(batches, most: int = 1 << 20):
     """The rows of the batches in batches of about `most` bytes, or of one longer row, so that
     working memory stays small where strings are long."""
     for b in batches:
@@ -92,19 +92,18 @@ class Kernel:
     def _tokens(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A buffer in which each token has one delimiter after it, and the tokens' starts,
         ends and rows."""
-        n = len(offsets) - 1
-        joined = np.full(len(buffer) + n, min(self.delims), np.uint8)
-        rows = np.repeat(np.arange(n), np.diff(offsets))
-        joined[np.arange(len(buffer)) + rows] = buffer
+        n, glue = len(offsets) - 1, min(self.delims)
+        ends = np.arange(n) + offsets[1:]
+        joined = np.insert(buffer, offsets[1:], glue)
         is_delim = self.table[joined]
-        row_of = np.repeat(np.arange(n), np.diff(offsets) + 1)
         before = np.concatenate([[True], is_delim[:-1]])
-        keep = ~is_delim | (is_delim & ~before)
-        joined[is_delim] = min(self.delims)
+        keep = ~(is_delim & before)
+        joined[is_delim] = glue
         first = np.flatnonzero(~is_delim & before)
         last = np.flatnonzero(is_delim & ~before)
-        place = np.cumsum(keep) - 1
-        return joined[keep], place[first], place[last], row_of[first]
+        size = last - first
+        start = np.cumsum(size + 1) - size - 1
+        return joined[keep], start, start + size, np.searchsorted(ends, first)
 
     def grams(self, data: list[bytes], size: int) -> Grams:
         buffer, offsets = _flat(data)
@@ -230,13 +229,14 @@ class Kernel:
         r, d = np.nonzero(bits)
         return r, d.astype(np.uint64), np.ones(len(r), np.float32)
 
+    def entries(self, data: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, dims and values of the vectors, by row and dim."""
+        row, dim, val = self.counts(self.parts(self.preprocess(data)))
+        return (row, dim, val) if self.counts_only else self.reduced(*self.scale(row, dim, val, len(data)), len(data))
+
     def vectors(self, data: list[bytes | None]) -> pa.Array:
         """The vector of each row."""
-        n = len(data)
-        row, dim, val = self.counts(self.parts(self.preprocess(data)))
-        if not self.counts_only:
-            row, dim, val = self.reduced(*self.scale(row, dim, val, n), n)
-        return pack_vectors(row, dim, val, n)
+        return pack_vectors(*self.entries(data), len(data))
 
     def named(self, data: list[bytes | None]) -> list[tuple[int, int, bytes]]:
         """(row, dim, n-gram) in the order of extraction, with repeats."""

@@ -34,9 +34,14 @@ def document_frequency(long: DataFrame) -> DataFrame:
 
 def idf_weights(long: DataFrame, n_documents: int | Column) -> DataFrame:
     """(dim, idf): log2(N / df), rounded to a float after each step."""
+    return weights_of(document_frequency(long), n_documents)
+
+
+def weights_of(found: DataFrame, n_documents: int | Column) -> DataFrame:
+    """The same from the document frequencies (dim, df)."""
     n = n_documents if isinstance(n_documents, Column) else F.lit(n_documents)
     rate = (F.lit(1.0) / F.col("df").cast("float")).cast("float")
-    return document_frequency(long).select("dim", F.log2((rate * n.cast("float")).cast("float").cast("double")).cast("float").alias("idf"))
+    return found.select("dim", F.log2((rate * n.cast("float")).cast("float").cast("double")).cast("float").alias("idf"))
 
 
 def apply_idf(tf: DataFrame, idf: DataFrame) -> DataFrame:

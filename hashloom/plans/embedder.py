@@ -14,12 +14,15 @@ from ..functions import ngrams as G
 from ..functions import preprocess as P
 from ..functions import vectors as V
 from ..functions.hashing import feature_hash, let, mask_of
+from ..operators import blocks as B
 from ..operators import longform as L
 from ..operators.kernel import Kernel, slices
 from ..session import ship_package, written
 
 #: IDF weights are broadcast up to this size; beyond it they are joined.
 BROADCAST_BYTES = 64 << 20
+#: Joined weights are split into buckets of about this size at most.
+BUCKET_BYTES = 1 << 20
 ENGINES = ("arrow", "catalyst")
 
 
@@ -57,9 +60,15 @@ class Embedder:
             counts = counts.replace(decode_str=False, reverse_str=False, stoptoken_file="")
         stop = [] if self.config.strict_compat else self.stop_lines
         n = df.count()
-        long = L.explode_vectors(Embedder(counts, self.engine, stop).transform(df.select(column), column), keys=[])
+        plain = Embedder(counts, self.engine, stop)
+        if self.engine == "arrow":
+            ship_package(df.sparkSession)
+            frequencies = df.select(F.col(column).cast("binary")).mapInArrow(B.frequencies(plain._kernel()), "dim bigint, df bigint")
+            found = frequencies.groupBy("dim").agg(F.sum("df").alias("df"))
+        else:
+            found = L.document_frequency(L.explode_vectors(plain.transform(df.select(column), column), keys=[]))
         # Written once: counting, collecting and joining them don't embed all rows again.
-        return Embedder(self.config, self.engine, self.stop_lines, written(L.idf_weights(long, n), "idf"))
+        return Embedder(self.config, self.engine, self.stop_lines, written(L.weights_of(found, n), "idf"))
 
     # ---- transforming
 
@@ -81,16 +90,31 @@ class Embedder:
         return self._joined_tfidf(df, column, out, keep)
 
     def _joined_tfidf(self, df: DataFrame, column: str, out: str, keep: list[str]) -> DataFrame:
-        """TF-IDF by a join on dim, for weights that are too many to broadcast.  Rows are
-        told apart by what is kept and the string itself, hashed."""
+        """TF-IDF by a join on dim, for weights that are too many to broadcast.
+
+        What moves are not entries but blocks: the entries that a slice of rows has in one of
+        the buckets of dims.  A bucket's blocks meet its weights, and those of a slice its rows.
+        The blocks are written once, so that a slice's tag stays the same when a task is repeated."""
+        ship_package(df.sparkSession)
         plain = Embedder(self.config.replace(vect_embed="cnt", vect_norm="none", thres_low=0.0, thres_high=0.0, dim_reduce="none"), self.engine, self.stop_lines)
-        key = F.struct(*[F.xxhash64(F.lit(s), column, *keep).alias(f"k{s}") for s in (1, 2)])
-        base = df.withColumn("__key", key)
-        tf = plain.transform(base.select("__key", column).dropDuplicates(["__key"]), column, "vec", ["__key"]).withColumn("vec", V.embed(F.col("vec"), "tf"))
-        weighted = L.apply_idf(L.explode_vectors(tf, keys=["__key"]), self.idf)
-        packed = L.implode_vectors(weighted, ["__key"], vec="__vec")
-        vec = self._after(F.coalesce("__vec", V.empty_vector()))
-        return base.join(packed, "__key", "left").select(*keep, vec.alias(out))
+        names = [f"__k{n}" for n in range(len(keep))]
+        arrow = self.engine == "arrow"
+        data = F.col(column).cast("binary") if arrow else plain.vector(F.col(column))
+        picked = df.select(data.alias("__data"), *[F.col(k).alias(n) for k, n in zip(keep, names)])
+        spark = df.sparkSession
+        least = max(int(spark.conf.get("spark.sql.shuffle.partitions")), self.idf.count() * 12 // BUCKET_BYTES)
+        buckets, entries = 1 << (least - 1).bit_length(), B.entries(plain._kernel() if arrow else None)
+        kinds = [(n, picked.schema[n].dataType.simpleString()) for n in names]
+        kept = "".join(f", `{n}` {t}" for n, t in kinds)
+        blocks = written(picked.mapInArrow(B.blocks(entries, names, buckets), f"{B.BLOCK}{kept}"), "tfidf")
+        weights = self.idf.withColumn("bucket", F.col("dim").bitwiseAND(F.lit(buckets - 1)).cast("int")).groupBy("bucket")
+        weights = weights.agg(F.sort_array(F.collect_list(F.struct("dim", "idf"))).alias("weights"))
+        of_bucket = blocks.filter("bucket >= 0").select("bucket", "tag", "cells").unionByName(weights, allowMissingColumns=True)
+        weighted = of_bucket.repartition("bucket").sortWithinPartitions("bucket", F.col("tag").asc_nulls_first()).mapInArrow(B.weighted, "tag bigint, cells binary")
+        of_slice = blocks.filter("bucket < 0").select("tag", "at", *names).unionByName(weighted, allowMissingColumns=True)
+        after = Kernel(self.config.replace(vect_embed="cnt"))
+        done = of_slice.repartition("tag").sortWithinPartitions("tag", F.col("at").asc_nulls_last()).mapInArrow(B.joined(names, after), f"`__vec` {V.VECTOR}{kept}")
+        return done.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], F.col("__vec").alias(out))
 
     def _local(self, df: DataFrame, column: str, out: str, keep: list[str]) -> DataFrame:
         if self.engine == "arrow":
