@@ -37,6 +37,28 @@ def empty_vector() -> Column:
     return F.array().cast(VECTOR)
 
 
+def _runs(x: Column, dim, total) -> Column:
+    """An entry for each run of equal dims in an array."""
+    n = F.size(x)
+    # where the runs begin, and at last where they end
+    edges = F.filter(F.sequence(F.lit(0), n), lambda i: (i == 0) | (i == n) | (dim(F.get(x, i)) != dim(F.get(x, i - 1))))
+
+    def one(s: Column) -> Column:
+        return F.transform(F.slice(s, F.lit(1), F.size(s) - 1), lambda at, k: _entry(dim(F.get(x, at)), total(x, at, F.get(s, k + 1))))
+
+    return F.when(n > 0, let(edges, one)).otherwise(empty_vector())
+
+
+def _summed(entries: Column) -> Column:
+    """The vector of an array of entries with dims in order; those of one dim are added up."""
+
+    def total(x: Column, at: Column, end: Column) -> Column:
+        several = F.aggregate(F.slice(x, at + 1, end - at), F.lit(0.0), lambda t, e: t + e["val"].cast("double"))
+        return F.when(end - at == 1, F.get(x, at)["val"].cast("double")).otherwise(several)
+
+    return let(entries, lambda x: F.when(x.isNotNull(), _runs(x, lambda e: e["dim"], total)))
+
+
 def vector_of(dims: Column, vals: Column | None = None, sign_mode: str = "aligned") -> Column:
     """A vector that counts an array of dims (or sums their vals).
 
@@ -44,29 +66,10 @@ def vector_of(dims: Column, vals: Column | None = None, sign_mode: str = "aligne
     published results have it; "aligned" leaves each value with its own dim.
     """
     if vals is None:
-        vals = F.transform(dims, lambda d: F.lit(1.0))
+        return let(F.sort_array(dims), lambda x: F.when(x.isNotNull(), _runs(x, lambda d: d, lambda x, at, end: end - at)))
     if sign_mode == "aligned":
-        both = F.array_sort(F.arrays_zip(dims.alias("d"), vals.alias("v")))
-        rows = F.transform(both, lambda e: F.struct(e["d"].alias("d"), e["v"].cast("double").alias("v")))
-    else:
-        rows = F.zip_with(F.array_sort(dims), vals, lambda d, v: F.struct(d.alias("d"), v.cast("double").alias("v")))
-
-    def runs(x: Column) -> Column:
-        n = F.size(x)
-        all_at = F.slice(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), F.lit(1), n)
-        starts = F.filter(all_at, lambda i: (i == 0) | (F.get(x, i)["d"] != F.get(x, i - 1)["d"]))
-        return let(
-            starts,
-            lambda s: F.transform(
-                s,
-                lambda at, k: _entry(
-                    F.get(x, at)["d"],
-                    F.aggregate(F.slice(x, at + 1, F.coalesce(F.get(s, k + 1), n) - at), F.lit(0.0), lambda t, e: t + e["v"]),
-                ),
-            ),
-        )
-
-    return let(rows, lambda x: F.when(x.isNotNull(), runs(x)))
+        return _summed(F.sort_array(F.arrays_zip(dims.alias("dim"), vals.alias("val"))))
+    return _summed(F.zip_with(F.sort_array(dims), vals, lambda d, v: F.struct(d.alias("dim"), v.alias("val"))))
 
 
 def sparsify(v: Column) -> Column:
@@ -75,7 +78,7 @@ def sparsify(v: Column) -> Column:
 
 def add(a: Column, b: Column) -> Column:
     """The sum of two vectors; entries that cancel out stay, with 0."""
-    return let(F.concat(a, b), lambda x: vector_of(F.transform(x, lambda e: e["dim"]), F.transform(x, lambda e: e["val"])))
+    return _summed(F.sort_array(F.concat(a, b)))
 
 
 def times(a: Column, b: Column) -> Column:

@@ -15,7 +15,8 @@ from ..functions import vectors as V
 def explode_vectors(df: DataFrame, vec: str = "vec", keys: list[str] | None = None) -> DataFrame:
     """A row for each entry; vectors without entries give none."""
     keys = [c for c in df.columns if c != vec] if keys is None else keys
-    return df.select(*keys, F.explode(vec).alias("__e")).select(*keys, F.col("__e.dim").alias("dim"), F.col("__e.val").alias("val"))
+    # explode() would have the optimizer filter by the vector's size, where it works the vector out a second time
+    return df.select(*keys, F.explode_outer(vec).alias("__e")).filter(F.col("__e").isNotNull()).select(*keys, F.col("__e.dim").alias("dim"), F.col("__e.val").alias("val"))
 
 
 def implode_vectors(long: DataFrame, keys: list[str], spine: DataFrame | None = None, vec: str = "vec") -> DataFrame:

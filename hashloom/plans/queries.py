@@ -14,7 +14,7 @@ from ..functions import vectors as V
 from ..operators import longform as L
 from ..session import shared_dir
 from ..sinks import writers as S
-from ..sources.readers import from_table, read_source
+from ..sources.readers import from_table, read_source, spread
 from . import oracle as O
 from .embedder import Embedder
 
@@ -53,7 +53,7 @@ def _docs(spark, sf_dir) -> DataFrame:
 
 
 def _parts(spark, sf_dir) -> DataFrame:
-    return from_table(_table(spark, sf_dir, "part"), "p_partkey", "p_name")
+    return from_table(spread(_table(spark, sf_dir, "part").select("p_partkey", "p_name")), "p_partkey", "p_name")
 
 
 def _talk(spark, sf_dir) -> DataFrame:

@@ -218,6 +218,13 @@ def from_table(df: DataFrame, id_column: str, text_column: str, label_column: st
     return df.select(F.col(id_column).cast("bigint").alias("row_id"), src.alias("src"), label.alias("label"), F.col(text_column).cast("binary").alias("data"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows over all cores: one row group of a file, small as it is when compressed, is one
+    task's, and may hold a million strings."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 SOURCES: dict[str, Callable[..., DataFrame]] = {"lines": lines, "stdin": stdin, "dir": directory, "arc": archive, "fasta": fasta}
 
 
