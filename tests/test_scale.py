@@ -35,3 +35,13 @@ def test_round6_is_round(spark):
     df = spark.createDataFrame([(v,) for v in x], "x float")
     both = df.select(Q.round6(F.col("x")).alias("a"), F.round(F.col("x").cast("double"), 6).alias("b"))
     assert both.filter(~F.col("a").eqNullSafe(F.col("b"))).count() == 0
+
+
+def test_catalyst_vectors_are_worked_out_once_and_on_all_cores(spark, tmp_path):
+    spark.range(500).select(F.col("id").alias("p_partkey"), F.lit("blue green blue").alias("p_name")).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    for name in ("byte3_count_catalyst", "simhash_catalyst"):
+        df = Q.QUERIES[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "size(" not in plan.split("Repartition")[1] and plan.count("Filter") == 1
+        assert df.select(F.spark_partition_id()).distinct().count() >= 4
+        assert df.groupBy("row_id").agg(F.sum("val")).count() == 500
