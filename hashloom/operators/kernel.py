@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..config import Config
 from ..functions.hashing import hash_slices, rehash_constants
@@ -251,3 +252,51 @@ def pack_vectors(row: np.ndarray, dim: np.ndarray, val: np.ndarray, n: int) -> p
     ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n) if len(row) else np.zeros(n, np.int64))]).astype(np.int32)
     cells = pa.StructArray.from_arrays([pa.array(dim.astype(np.uint64).view(np.int64)), pa.array(val.astype(np.float32))], names=["dim", "val"])
     return pa.ListArray.from_arrays(pa.array(ends), cells).cast(VECTOR_TYPE)
+
+
+def _places(ids: np.ndarray, known: np.ndarray, at: np.ndarray) -> pa.Array:
+    """decimal(38, 0): id * 2^40 + at, in the order of id and at; a null id comes last."""
+    cells = np.empty((len(ids), 2), np.int64)
+    cells[:, 0] = np.where(known, ids << 40, 0) | at
+    cells[:, 1] = np.where(known, ids >> 24, 1 << 40)
+    return pa.Array.from_buffers(pa.decimal128(38, 0), len(ids), [None, pa.py_buffer(cells.tobytes())])
+
+
+def distinct_grams(kernel: Kernel, ids: pa.Array, data: pa.Array, chunk_size: int = 0) -> pa.RecordBatch:
+    """(chunk, dim, feat, first, n): the distinct n-grams of the rows (of each chunk of ids, with a
+    chunk_size), the first one's place and their number."""
+    known = np.asarray(pc.is_valid(ids))
+    ids = pc.fill_null(ids, 0).to_numpy()
+    seen, codes, places = np.zeros(len(ids), np.int64), [], []
+    feats, dims = [], []
+    for g in kernel.parts(kernel.preprocess(data.to_pylist())):
+        raw, first = _gather(g.buffer, g.start, g.length)
+        ends = pa.py_buffer(np.append(first, len(raw)).astype(np.int64))
+        feats.append(pa.Array.from_buffers(pa.large_binary(), len(first), [None, ends, pa.py_buffer(raw)]))
+        dims.append((hash_slices(g.buffer, g.start, g.length, kernel.c.hash_algorithm) & kernel.mask).view(np.int64))
+        count = np.bincount(g.row, minlength=len(ids)) if len(g.row) else np.zeros(len(ids), np.int64)
+        places.append((g.row, np.arange(len(g.row)) - (np.cumsum(count) - count)[g.row] + seen[g.row]))
+        seen += count
+    coded = pa.concat_arrays(feats).dictionary_encode()
+    row, at = (np.concatenate(x).astype(np.int64) for x in zip(*places))
+    code, dim = coded.indices.to_numpy(), np.concatenate(dims)
+    chunk = ids // chunk_size if chunk_size else np.zeros(len(ids), np.int64)
+    in_chunk, valid = chunk[row], known[row]
+    order = np.lexsort((at, ids[row], ~valid, code, in_chunk) if chunk_size else (at, ids[row], ~valid, code))
+    if chunk_size:  # rows without an id have a chunk of their own
+        order = order[np.argsort(~valid[order], kind="stable")]
+    c, k, v = code[order], in_chunk[order], valid[order]
+    edge = np.ones(len(c), bool)
+    edge[1:] = (c[1:] != c[:-1]) | ((k[1:] != k[:-1]) | (v[1:] != v[:-1]) if chunk_size else False)
+    start = np.flatnonzero(edge)
+    best = order[start]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(in_chunk[best], mask=~valid[best] | (chunk_size == 0)),
+            pa.array(dim[best]),
+            coded.dictionary.take(pa.array(code[best])).cast(pa.binary()),
+            _places(ids[row[best]], valid[best], at[best]),
+            pa.array(np.diff(np.append(start, len(c)))),
+        ],
+        names=["chunk", "dim", "feat", "first", "n"],
+    )

@@ -75,13 +75,15 @@ def dictionary(named: DataFrame, scope: list[str] | None = None) -> DataFrame:
     The first n-gram of a dim wins, by row_id, part and place; a later one with other bytes
     is a collision.
     """
-    return dictionary_of_firsts(named.withColumn("n", F.lit(1).cast("bigint")), scope, "row_id", "part", "at")
+    place = F.struct("row_id", "part", "at")
+    return dictionary_of_firsts(named.select(*(scope or []), "dim", "feat", place.alias("first"), F.lit(1).cast("bigint").alias("n")), scope)
 
 
-def dictionary_of_firsts(rows: DataFrame, scope: list[str] | None = None, *place: str) -> DataFrame:
-    """The same from rows that stand for n n-grams, of which the first is at place (row_id and at)."""
+def dictionary_of_firsts(rows: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """The same from rows that stand for n n-grams, of which the first is at the place `first`.  A decimal
+    as place is summed up in a hash table, where a struct would have all rows sorted."""
     scope = scope or []
-    distinct = rows.groupBy(*scope, "dim", "feat").agg(F.min(F.struct(*(place or ("row_id", "at")))).alias("first"), F.sum("n").alias("n"))
+    distinct = rows.groupBy(*scope, "dim", "feat").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
     return distinct.groupBy(*scope, "dim").agg(
         F.min_by("feat", "first").alias("feat"),
         F.sum("n").alias("insertions"),

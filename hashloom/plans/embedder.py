@@ -16,7 +16,7 @@ from ..functions import vectors as V
 from ..functions.hashing import feature_hash, let, mask_of
 from ..operators import blocks as B
 from ..operators import longform as L
-from ..operators.kernel import Kernel, slices
+from ..operators.kernel import Kernel, distinct_grams, slices
 from ..session import ship_package, written
 
 #: IDF weights are broadcast up to this size; beyond it they are joined.
@@ -89,6 +89,14 @@ class Embedder:
             return self._arrow(df, column, out, keep, idf=(dim.view(np.uint64)[order], weight[order].astype(np.float32)))
         return self._joined_tfidf(df, column, out, keep)
 
+    def transform_all(self, df: DataFrame, columns: dict[str, str], keep: list[str]) -> DataFrame:
+        """df's columns in `keep` and a vector for each of several columns, in one pass (not for tfidf)."""
+        if self.config.vect_embed == "tfidf":
+            raise ValueError("tfidf needs the weights of one column")
+        if self.engine == "arrow":
+            return self._arrow_all(df, columns, keep)
+        return df.select(*keep, *[self.vector(F.col(c)).alias(out) for c, out in columns.items()])
+
     def _joined_tfidf(self, df: DataFrame, column: str, out: str, keep: list[str]) -> DataFrame:
         """TF-IDF by a join on dim, for weights that are too many to broadcast.
 
@@ -126,18 +134,22 @@ class Embedder:
         return Kernel(c, P.stop_hashes(self.stop_lines, c.hash_algorithm, c.strict_compat), idf, **how)
 
     def _arrow(self, df: DataFrame, column: str, out: str, keep: list[str], idf=None) -> DataFrame:
+        return self._arrow_all(df, {column: out}, keep, idf)
+
+    def _arrow_all(self, df: DataFrame, columns: dict[str, str], keep: list[str], idf=None) -> DataFrame:
         ship_package(df.sparkSession)
         kernel = self._kernel(idf)
-        names = [f"__k{n}" for n in range(len(keep))]
-        picked = df.select(F.col(column).cast("binary").alias("__data"), *[F.col(k).alias(n) for k, n in zip(keep, names)])
+        names, vecs = [f"__k{n}" for n in range(len(keep))], [f"__v{n}" for n in range(len(columns))]
+        picked = df.select(*[F.col(c).cast("binary").alias(v) for c, v in zip(columns, vecs)], *[F.col(k).alias(n) for k, n in zip(keep, names)])
 
         def run(batches):
             for b in slices(batches):
-                yield pa.RecordBatch.from_arrays([*b.columns[1:], kernel.vectors(b.column(0).to_pylist())], names=[*names, "__vec"])
+                made = [kernel.vectors(b.column(n).to_pylist()) for n in range(len(vecs))]
+                yield pa.RecordBatch.from_arrays([*made, *b.columns[len(vecs) :]], names=[*vecs, *names])
 
-        fields = ", ".join(f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in names)
-        done = picked.mapInArrow(run, f"{fields + ', ' if fields else ''}`__vec` {V.VECTOR}")
-        return done.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], F.col("__vec").alias(out))
+        fields = [f"`{v}` {V.VECTOR}" for v in vecs] + [f"`{n}` {picked.schema[n].dataType.simpleString()}" for n in names]
+        done = picked.mapInArrow(run, ", ".join(fields))
+        return done.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], *[F.col(v).alias(out) for v, out in zip(vecs, columns.values())])
 
     # ---- as expressions
 
@@ -209,28 +221,14 @@ class Embedder:
     def dictionary(self, df: DataFrame, row_id: str = "row_id", column: str = "data", chunked: bool = False) -> DataFrame:
         """The feature dictionary of df; `chunked` keeps one for each chunk_size rows.
 
-        Each batch gives a row for each of its distinct n-grams, with the first place and the count."""
+        Each slice gives a row for each of its distinct n-grams, with the first place and the count."""
         ship_package(df.sparkSession)
         kernel, chunk_size = self._kernel(), self.config.chunk_size if chunked else 0
 
         def run(batches):
             for b in slices(batches):
-                ids = b.column(0).to_pylist()
-                seen: dict[tuple, list] = {}
-                for at, (row, dim, feat) in enumerate(kernel.named(b.column(1).to_pylist())):
-                    i = ids[row]
-                    key = (i // chunk_size if chunk_size and i is not None else None, dim, feat)
-                    known = seen.get(key)
-                    if known is None:
-                        seen[key] = [i, at, 1]
-                        continue
-                    known[2] += 1
-                    if i is not None and (known[0] is None or i < known[0]):
-                        known[0], known[1] = i, at
-                cols = list(zip(*((*k, *v) for k, v in seen.items()))) if seen else [[] for _ in range(6)]
-                kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["chunk", "dim", "feat", "row_id", "at", "n"])
+                yield distinct_grams(kernel, b.column(0), b.column(1), chunk_size)
 
         picked = df.select(F.col(row_id).cast("bigint"), F.col(column).cast("binary"))
-        first = picked.mapInArrow(run, "chunk bigint, dim bigint, feat binary, row_id bigint, at bigint, n bigint")
+        first = picked.mapInArrow(run, "chunk bigint, dim bigint, feat binary, first decimal(38,0), n bigint")
         return L.dictionary_of_firsts(first if chunked else first.drop("chunk"), ["chunk"] if chunked else None)
