@@ -216,8 +216,14 @@ _AB = (
 def _a_and_b(spark, sf_dir) -> DataFrame:
     """Documents with the vector of the text and that of its first word."""
     t = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("row_id"), "text")
-    a = Embedder(Config()).transform(t.withColumn("first", F.regexp_extract("text", "^[ \n\r]*([^ \n\r]*)", 1)), "text", "a", ["row_id", "first"])
-    return Embedder(Config()).transform(a, "first", "b", ["row_id", "a"])
+    both = t.withColumn("first", F.regexp_extract("text", "^[ \n\r]*([^ \n\r]*)", 1))
+    return Embedder(Config()).transform_all(both, {"text": "a", "first": "b"}, ["row_id"])
+
+
+def _a(spark, sf_dir) -> DataFrame:
+    """Documents with the vector of the text."""
+    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("row_id"), "text")
+    return Embedder(Config()).transform(t, "text", "a")
 
 
 def _vec(df: DataFrame, vec) -> DataFrame:
@@ -241,22 +247,22 @@ def vec_dot(spark, sf_dir):
 
 @query(f"{O.counts(DOCS)} SELECT row_id, dim, val * 2.5 AS val FROM counts")
 def vec_mul(spark, sf_dir):
-    return _vec(_a_and_b(spark, sf_dir), V.mul(F.col("a"), 2.5))
+    return _vec(_a(spark, sf_dir), V.mul(F.col("a"), 2.5))
 
 
 @query(f"{O.counts(DOCS)} SELECT row_id, dim, round(log2(val)::FLOAT::DOUBLE, 6) AS val FROM counts")
 def vec_log2(spark, sf_dir):
-    return _vec(_a_and_b(spark, sf_dir), V.log2(F.col("a")))
+    return _vec(_a(spark, sf_dir), V.log2(F.col("a")))
 
 
 @query(f"{O.counts(DOCS)} SELECT row_id, dim, round((1.0 / val)::FLOAT::DOUBLE, 6) AS val FROM counts")
 def vec_invert(spark, sf_dir):
-    return _vec(_a_and_b(spark, sf_dir), V.invert(F.col("a")))
+    return _vec(_a(spark, sf_dir), V.invert(F.col("a")))
 
 
 @query(f"{O.counts(DOCS)} SELECT row_id, dim, 1.0::DOUBLE AS val FROM counts")
 def vec_binarize(spark, sf_dir):
-    return _vec(_a_and_b(spark, sf_dir), V.binarize(F.col("a")))
+    return _vec(_a(spark, sf_dir), V.binarize(F.col("a")))
 
 
 @query(f"{_AB} SELECT row_id, (SELECT count(*) FROM counts c WHERE c.row_id = s.row_id) = (SELECT count(*) FROM counts c JOIN b USING (row_id, dim) WHERE c.row_id = s.row_id AND c.val = b.val) AS same FROM src s")
