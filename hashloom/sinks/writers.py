@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import __version__
 from ..config import Config
 from ..functions import vectors as V
+from ..operators.kernel import slices
 from ..session import ship_package
 from . import formats as T
 from . import matfile
@@ -79,6 +80,15 @@ def _lines(src: pa.Array, label: pa.Array, vec: pa.Array, kind: str) -> pa.Array
     return pc.binary_join_element_wise(joined(cell("::"), ","), pc.if_else(named, pc.binary_join_element_wise(" # ", said, ""), ""), "")
 
 
+def _batches_of_lines(batches, kind: str, with_feats: bool = False):
+    for b in slices(batches):
+        if with_feats:
+            value = pa.array(_with_features(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), kind), pa.string())
+        else:
+            value = _lines(b.column(1), b.column(2), b.column(3), kind).cast(pa.string())
+        yield pa.RecordBatch.from_arrays([b.column(0), value], names=["row_id", "value"])
+
+
 def formatted(df: DataFrame, kind: str) -> DataFrame:
     """(row_id, value): each row as a line of the format."""
     ship_package(df.sparkSession)
@@ -86,12 +96,7 @@ def formatted(df: DataFrame, kind: str) -> DataFrame:
     picked = [F.col("row_id").cast("bigint"), F.col("src").cast("string").alias("src"), F.col("label").cast("float").alias("label"), F.col("vec").cast(V.VECTOR).alias("vec")]
 
     def run(batches):
-        for b in batches:
-            if with_feats:
-                value = pa.array(_with_features(b.column(1).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), kind), pa.string())
-            else:
-                value = _lines(b.column(1), b.column(2), b.column(3), kind).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([b.column(0), value], names=["row_id", "value"])
+        return _batches_of_lines(batches, kind, with_feats)
 
     return df.select(*picked, *(["feats"] if with_feats else [])).mapInArrow(run, "row_id bigint, value string")
 
