@@ -1,11 +1,18 @@
 """What larger tables need: joins without rows of entries, bounded batches, spread rows."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from hashloom.config import Config
+from hashloom.operators import longform as L
+from hashloom.operators.kernel import Kernel, pack_vectors, slices
 from hashloom.plans import queries as Q
 from hashloom.plans.embedder import Embedder
+from hashloom.sinks.writers import _batches_of_lines
 
 
 def _texts(spark, n=300):
@@ -45,3 +52,67 @@ def test_catalyst_vectors_are_worked_out_once_and_on_all_cores(spark, tmp_path):
         assert "size(" not in plan.split("Repartition")[1] and plan.count("Filter") == 1
         assert df.select(F.spark_partition_id()).distinct().count() >= 4
         assert df.groupBy("row_id").agg(F.sum("val")).count() == 500
+
+
+def _peak(work) -> float:
+    tracemalloc.start()
+    try:
+        for _ in work():
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_workers_memory_does_not_follow_the_batch():
+    from hashloom.operators.kernel import distinct_grams
+
+    words = np.random.default_rng(3).integers(0, 50000, (4000, 400))
+    batch = pa.RecordBatch.from_pydict({"id": np.arange(4000), "data": pa.array([" ".join(map(str, w)).encode() for w in words], pa.binary())})
+    kernel = Kernel(Config())
+    assert _peak(lambda: (kernel.vectors(b.column(1).to_pylist()) for b in slices([batch]))) < 60
+    assert _peak(lambda: (distinct_grams(kernel, b.column(0), b.column(1)) for b in slices([batch]))) < 60
+
+
+def test_lines_are_made_in_small_batches():
+    n, m = 2000, 300
+    vec = pack_vectors(np.repeat(np.arange(n), m), np.tile(np.arange(m, dtype=np.uint64), n), np.ones(n * m, np.float32), n)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n)), pa.nulls(n, pa.string()), pa.nulls(n, pa.float32()), vec], names=["row_id", "src", "label", "vec"])
+    made = list(_batches_of_lines([batch], "libsvm"))
+    assert max(b.nbytes for b in made) < 2 << 20 and sum(b.num_rows for b in made) == n
+    assert pa.Table.from_batches(made).column("value")[n - 1].as_py() == "0 " + "".join(f"{d + 1}:1 " for d in range(m))
+
+
+def test_vector_queries_embed_in_one_pass(spark, tmp_path):
+    spark.createDataFrame([(1, "a b a"), (2, " b"), (3, "")], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = lambda name: Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan("vec_add").count("MapInArrow") == 1
+    for name in ("vec_binarize", "vec_mul", "vec_log2", "vec_invert"):
+        assert plan(name).count("MapInArrow") == 1 and "regexp_extract" not in plan(name)
+    assert sorted(r.val for r in Q.vec_add(spark, str(tmp_path)).collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("options", [{}, {"ngram_len": 2, "ngram_blend": True}, {"ngram_pos": True, "pos_shift": 1}, {"granularity": "bytes", "ngram_len": 3, "hash_algorithm": "md5"}])
+def test_dictionary_is_that_of_all_ngrams(spark, options):
+    e = Embedder(Config(hash_bits=6, chunk_size=7, **options))
+    df = _texts(spark).filter("row_id >= 10")
+    named = e.named(df)
+    for scope in (None, ["chunk"]):
+        got = e.dictionary(df, chunked=scope is not None)
+        want = L.dictionary(named.withColumn("chunk", F.expr("row_id div 7")), scope)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    assert "SortAggregate" not in spark_plan(e.dictionary(df).select("dim", "insertions"))
+
+
+def spark_plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_without_an_id_come_last_in_a_dictionary(spark):
+    rows = [(None, "x"), (5, "y"), (-3, "z"), (2, "x")]
+    df = spark.createDataFrame(rows, "row_id bigint, data string").coalesce(1)
+    got = {r.chunk: (bytes(r.feat), r.insertions, r.collisions) for r in Embedder(Config(hash_bits=1, chunk_size=100)).dictionary(df, chunked=True).collect() if r.dim == 0} | {}
+    whole = Embedder(Config(hash_bits=1)).dictionary(df).collect()
+    assert sum(r.insertions for r in whole) == 4 and None in {r.chunk for r in Embedder(Config(hash_bits=1, chunk_size=100)).dictionary(df, chunked=True).collect()}
+    assert all(n >= c for _, n, c in got.values())
+    assert bytes(min(whole, key=lambda r: bytes(r.feat) != b"z").feat) == b"z"
