@@ -79,9 +79,13 @@ def hash_slices(buffer: np.ndarray, start: np.ndarray, length: np.ndarray, algor
         for k, (s, n) in enumerate(zip(start.tolist(), length.tolist())):
             out[k] = int.from_bytes(hashlib.md5(raw[s : s + n]).digest()[:8], "little")
         return out
-    order = np.argsort(length, kind="stable")
-    sizes, first = np.unique(length[order], return_index=True)
-    for size, lo, hi in zip(sizes.tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
+    # 16 bits are sorted by radix; longer slices are few
+    order = np.argsort(np.minimum(length, 0xFFFF).astype(np.uint16), kind="stable")
+    long = np.searchsorted(length[order], 0xFFFF) if len(length) and length.max() > 0xFFFF else len(order)
+    order[long:] = order[long:][np.argsort(length[order[long:]], kind="stable")]
+    ordered = length[order]
+    first = np.flatnonzero(np.diff(ordered, prepend=-1))
+    for size, lo, hi in zip(ordered[first].tolist(), first.tolist(), [*first[1:].tolist(), len(order)]):
         step = max(1, (1 << 22) // max(size, 1))
         for at in range(lo, hi, step):
             ids = order[at : min(at + step, hi)]

@@ -169,15 +169,33 @@ class Kernel:
         for g in parts:
             h = hash_slices(g.buffer, g.start, g.length, c.hash_algorithm)
             dim = h & self.mask
+            if not c.vect_sign and c.hash_bits + len(g.row).bit_length() <= 64:
+                sums.append(self._counted(g.row, dim))
+                continue
             val = np.ones(len(h), np.float32)
             if c.vect_sign:
                 val[(h & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32) > 0] = -1
             order = np.lexsort((dim, g.row))
             # g.row is in order already, so `order` moves entries within their row only
             sums.append(self._sum(g.row[order], dim[order], val if c.sign_mode == "reference" else val[order]))
-        if len(sums) == 1:
-            return sums[0]
-        row, dim, val = (np.concatenate(x) for x in zip(*sums))
+        return self.added(sums)
+
+    def _counted(self, row: np.ndarray, dim: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What _sum gives of ones, from rows in order: row (its number among those that occur) and dim are sorted as one number."""
+        if not len(row):
+            return row, dim, np.zeros(0, np.float32)
+        new = np.diff(row, prepend=-1) != 0
+        bits, rows = np.uint64(self.c.hash_bits), row[new]
+        key = np.sort((np.cumsum(new) - 1).astype(np.uint64) << bits | dim) if len(rows) > 1 else np.sort(dim)
+        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        key, n = key[first], np.diff(first, append=len(key)).astype(np.float32)
+        return (rows[(key >> bits).astype(np.int64)] if len(rows) > 1 else np.full(len(key), row[0])), key & self.mask, n
+
+    def added(self, several: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sum of several (row, dim, value), each by row and dim."""
+        if len(several) == 1:
+            return several[0]
+        row, dim, val = (np.concatenate(x) for x in zip(*several))
         order = np.lexsort((dim, row))
         return self._sum(row[order], dim[order], val[order])
 

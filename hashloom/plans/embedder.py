@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from pathlib import Path
 
 import numpy as np
@@ -97,6 +98,28 @@ class Embedder:
             return self._arrow_all(df, columns, keep)
         return df.select(*keep, *[self.vector(F.col(c)).alias(out) for c, out in columns.items()])
 
+    def entries(self, df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
+        """A row (keep..., dim, val) for each entry of the sum of the columns' vectors (not for tfidf): what
+        explode_vectors gives, but Arrow batches hold the rows at once, and no vector is packed and unpacked."""
+        if self.config.vect_embed == "tfidf":
+            raise ValueError("tfidf needs the weights of one column")
+        if self.engine != "arrow":
+            vecs = [self.vector(F.col(c)) for c in columns]
+            return L.explode_vectors(df.select(*keep, reduce(V.add, vecs).alias("vec")), keys=keep)
+        ship_package(df.sparkSession)
+        kernel, names, data = self._kernel(), [f"__k{n}" for n in range(len(keep))], range(len(columns))
+        picked = df.select(*[F.col(c).cast("binary").alias(f"__v{n}") for n, c in enumerate(columns)], *[F.col(k).alias(n) for k, n in zip(keep, names)])
+
+        def run(batches):
+            for b in slices(batches):
+                row, dim, val = kernel.added([kernel.entries(b.column(n).to_pylist()) for n in data])
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([*[k.take(at) for k in b.columns[len(data) :]], pa.array(dim.view(np.int64)), pa.array(val)], names=[*names, "dim", "val"])
+
+        kept = "".join(f"`{n}` {picked.schema[n].dataType.simpleString()}, " for n in names)
+        done = picked.mapInArrow(run, f"{kept}dim bigint, val float")
+        return done.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], "dim", "val")
+
     def _joined_tfidf(self, df: DataFrame, column: str, out: str, keep: list[str]) -> DataFrame:
         """TF-IDF by a join on dim, for weights that are too many to broadcast.
 

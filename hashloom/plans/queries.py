@@ -66,8 +66,7 @@ def _bench(spark, sf_dir) -> DataFrame:
 
 
 def _long(df: DataFrame, config: Config = Config(), engine: str = "arrow") -> DataFrame:
-    vecs = Embedder(config, engine).transform(df.select("row_id", "data"))
-    return L.explode_vectors(vecs).withColumn("val", F.col("val").cast("double"))
+    return Embedder(config, engine).entries(df, ["data"], ["row_id"]).withColumn("val", F.col("val").cast("double"))
 
 
 def round6(x: F.Column) -> F.Column:
@@ -213,11 +212,15 @@ _AB = (
 )
 
 
+def _text_and_first(spark, sf_dir) -> DataFrame:
+    """Documents with their text and its first word."""
+    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("row_id"), "text")
+    return t.withColumn("first", F.regexp_extract("text", "^[ \n\r]*([^ \n\r]*)", 1))
+
+
 def _a_and_b(spark, sf_dir) -> DataFrame:
     """Documents with the vector of the text and that of its first word."""
-    t = _table(spark, sf_dir, "documents").select(F.col("doc_id").cast("bigint").alias("row_id"), "text")
-    both = t.withColumn("first", F.regexp_extract("text", "^[ \n\r]*([^ \n\r]*)", 1))
-    return Embedder(Config()).transform_all(both, {"text": "a", "first": "b"}, ["row_id"])
+    return Embedder(Config()).transform_all(_text_and_first(spark, sf_dir), {"text": "a", "first": "b"}, ["row_id"])
 
 
 def _a(spark, sf_dir) -> DataFrame:
@@ -232,7 +235,8 @@ def _vec(df: DataFrame, vec) -> DataFrame:
 
 @query(f"{_AB} SELECT row_id, dim, sum(val) AS val FROM (SELECT * FROM counts UNION ALL SELECT * FROM b) GROUP BY row_id, dim")
 def vec_add(spark, sf_dir):
-    return _vec(_a_and_b(spark, sf_dir), V.add(F.col("a"), F.col("b")))
+    both = Embedder(Config()).entries(_text_and_first(spark, sf_dir), ["text", "first"], ["row_id"])
+    return both.withColumn("val", round6(F.col("val")))
 
 
 @query(f"{_AB} SELECT row_id, dim, c.val * b.val AS val FROM counts c JOIN b USING (row_id, dim)")

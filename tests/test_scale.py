@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from hashloom.config import Config
+from hashloom.functions import vectors as V
+from hashloom.functions.hashing import hash_bytes, hash_slices
 from hashloom.operators import longform as L
 from hashloom.operators.kernel import Kernel, pack_vectors, slices
 from hashloom.plans import queries as Q
@@ -116,3 +118,35 @@ def test_rows_without_an_id_come_last_in_a_dictionary(spark):
     assert sum(r.insertions for r in whole) == 4 and None in {r.chunk for r in Embedder(Config(hash_bits=1, chunk_size=100)).dictionary(df, chunked=True).collect()}
     assert all(n >= c for _, n, c in got.values())
     assert bytes(min(whole, key=lambda r: bytes(r.feat) != b"z").feat) == b"z"
+
+
+def test_entries_are_rows_without_packed_vectors(spark, tmp_path):
+    texts = [(1, "a b a"), (2, " b"), (3, ""), (4, None), (5, "c a\nb b")]
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("vec_add", "tok_count"):
+        plan = Q.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Generate" not in plan and plan.count("MapInArrow") == 1
+    df = spark.createDataFrame([(k, t, (t or "").split(" ")[-1]) for k, t in texts], "row_id bigint, a string, b string")
+    for c in (Config(), Config(vect_sign=True), Config(hash_bits=64), Config(vect_norm="l2"), Config(dim_reduce="bloom")):
+        vecs = Embedder(c).transform_all(df, {"a": "a", "b": "b"}, ["row_id"])
+        want = L.explode_vectors(vecs.select("row_id", V.add(F.col("a"), F.col("b")).alias("vec")))
+        for engine in ("arrow", "catalyst"):
+            got = Embedder(c, engine).entries(df, ["a", "b"], ["row_id"])
+            assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_counts_sorted_as_one_number_are_counts():
+    rows = np.sort(np.random.default_rng(5).integers(0, 40, 3000))
+    dims = np.random.default_rng(6).integers(0, 50, 3000).astype(np.uint64) << np.uint64(12)
+    for bits in (18, 22, 40, 52):
+        kernel = Kernel(Config(hash_bits=bits))
+        order = np.lexsort((dims, rows))
+        for got, want in zip(kernel._counted(rows, dims), kernel._sum(rows[order], dims[order], np.ones(3000, np.float32))):
+            assert got.dtype == want.dtype and got.tolist() == want.tolist()
+
+
+def test_slices_of_any_length_are_hashed():
+    buffer = np.random.default_rng(8).integers(0, 256, 300000).astype(np.uint8)
+    start, length = np.array([7, 0, 5, 9, 1, 2, 3]), np.array([65535, 0, 200000, 65536, 3, 200000, 70000])
+    got = hash_slices(buffer, start, length).tolist()
+    assert got == [hash_bytes(buffer[s : s + n].tobytes()) for s, n in zip(start.tolist(), length.tolist())]
