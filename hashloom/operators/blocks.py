@@ -45,6 +45,41 @@ def frequencies(kernel):
     return run
 
 
+def _added(pieces: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Each dim of the pieces once, with the sum of its values, in double."""
+    dim, val = (np.concatenate(x) for x in zip(*pieces))
+    order = np.argsort(dim)
+    dim, val = dim[order], val[order].astype(np.float64)
+    first = np.flatnonzero(np.concatenate([[True], dim[1:] != dim[:-1]])) if len(dim) else np.zeros(0, np.int64)
+    return dim[first], np.add.reduceat(val, first) if len(dim) else val
+
+
+def sums(kernel, most: int = 1 << 18):
+    """Strings to (dim, val): the sum of the rows' vectors, each task's own before anything moves.  It holds
+    `most` entries, or those of one slice, at a time, and passes on what stays more than half of that."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(held[0][0].view(np.int64)), pa.array(held[0][1])], names=["dim", "val"])
+
+        for b in slices(batches):
+            held.append(_added([kernel.entries(b.column(0).to_pylist())[1:]]))
+            size += len(held[-1][0])
+            if size > most:
+                held = [_added(held)]
+                size = len(held[0][0])
+                if size > most // 2:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            held = [_added(held)]
+            yield out()
+
+    return run
+
+
 def blocks(entries, names: list[str], buckets: int):
     """(__data, names...) to the rows of each slice, under a tag that no other has, and its blocks
     of term frequencies."""

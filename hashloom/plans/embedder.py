@@ -120,6 +120,15 @@ class Embedder:
         done = picked.mapInArrow(run, f"{kept}dim bigint, val float")
         return done.select(*[F.col(n).alias(k) for k, n in zip(keep, names)], "dim", "val")
 
+    def total(self, df: DataFrame, column: str = "data") -> DataFrame:
+        """(dim, val): the sum of the rows' vectors (not for tfidf), added up in each task before it moves."""
+        if self.engine != "arrow":
+            return L.sum_vectors(self.entries(df, [column], []).withColumn("val", F.col("val").cast("double")))
+        if self.config.vect_embed == "tfidf":
+            raise ValueError("tfidf needs the weights of one column")
+        ship_package(df.sparkSession)
+        return L.sum_vectors(df.select(F.col(column).cast("binary")).mapInArrow(B.sums(self._kernel()), "dim bigint, val double"))
+
     def _joined_tfidf(self, df: DataFrame, column: str, out: str, keep: list[str]) -> DataFrame:
         """TF-IDF by a join on dim, for weights that are too many to broadcast.
 

@@ -288,12 +288,12 @@ def vec_dot_pairs(spark, sf_dir):
 
 @query(f"{O.counts(DOCS)} SELECT dim, sum(val) AS val FROM counts GROUP BY dim")
 def vec_sum(spark, sf_dir):
-    return L.sum_vectors(_long(_docs(spark, sf_dir))).withColumn("val", F.col("val").cast("double"))
+    return Embedder(Config()).total(_docs(spark, sf_dir)).withColumn("val", F.col("val").cast("double"))
 
 
 @query(f"{_PAIRS}, total AS (SELECT dim, sum(val) AS t FROM items GROUP BY dim) SELECT row_id, dim, val * t AS val FROM counts JOIN total USING (dim)")
 def vec_times_join(spark, sf_dir):
-    total = L.sum_vectors(_long(_bench(spark, sf_dir)))
+    total = Embedder(Config()).total(_bench(spark, sf_dir))
     return L.product_join(_long(_docs(spark, sf_dir)), total).withColumn("val", F.col("val").cast("double"))
 
 

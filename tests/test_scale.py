@@ -150,3 +150,46 @@ def test_slices_of_any_length_are_hashed():
     start, length = np.array([7, 0, 5, 9, 1, 2, 3]), np.array([65535, 0, 200000, 65536, 3, 200000, 70000])
     got = hash_slices(buffer, start, length).tolist()
     assert got == [hash_bytes(buffer[s : s + n].tobytes()) for s, n in zip(start.tolist(), length.tolist())]
+
+
+def test_sums_are_added_up_before_they_move(spark):
+    from hashloom.operators import blocks as B
+
+    texts = [" ".join(f"w{x}" for x in w) for w in np.random.default_rng(9).integers(0, 300, (900, 20))] + ["", None]
+    batches = [pa.RecordBatch.from_pydict({"data": pa.array(texts[i : i + 100], pa.binary())}) for i in range(0, 902, 100)]
+    df = spark.createDataFrame([(t,) for t in texts], "data string")
+    for c in (Config(), Config(vect_norm="l2"), Config(vect_sign=True), Config(hash_bits=64), Config(thres_low=9.0)):
+        e = Embedder(c)
+        want = {r.dim: r.val for r in L.sum_vectors(L.explode_vectors(e.transform(df), keys=[])).collect()}
+        for most in (1, 400, 1 << 18):
+            made, got = list(B.sums(e._kernel(), most)(iter(batches))), {}
+            for m in made:
+                for d, v in zip(*(x.to_pylist() for x in m.columns)):
+                    got[d] = got.get(d, 0) + v
+            assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-4 for d in got)
+        assert len(made) == bool(want) and sum(m.num_rows for m in made) == len(want)
+        for engine in ("arrow", "catalyst"):
+            assert {r.dim: round(r.val, 3) for r in Embedder(c, engine).total(df).collect()} == {d: round(v, 3) for d, v in want.items()}
+
+
+def test_a_dictionarys_first_ngrams_need_no_order_of_rows(spark):
+    from hashloom.operators.kernel import distinct_grams
+
+    for ids in ([5, 5, 2, None, 2, None], [1, 2, 3, 4, 5, 6], [-3, -9, 0, None, 7, 1 << 45]):
+        data = ["a b c a", "c d a", "b", "e a e", "d b", ""]
+        for c in (Config(), Config(ngram_len=2, ngram_blend=True)):
+            for size in (0, 4):
+                kernel, want = Kernel(c), {}
+                named = kernel.named([d.encode() for d in data])
+                seen: dict = {}
+                for row, dim, feat in named:
+                    at = seen[row] = seen.get(row, -1) + 1
+                    i = ids[row]
+                    place = (1 << 80) + at if i is None else (i << 40) + at
+                    key = (None if i is None or not size else i // size, i is None and bool(size), dim, feat)
+                    first, n = want.get(key, (place, 0))
+                    want[key] = (min(first, place), n + 1)
+                got = distinct_grams(kernel, pa.array(ids, pa.int64()), pa.array([d.encode() for d in data], pa.binary()), size)
+                assert sorted(((r["chunk"], r["dim"], r["feat"], int(r["first"]) % (1 << 64), r["n"]) for r in got.to_pylist()), key=repr) == sorted(
+                    ((k[0], k[2], k[3], v[0] % (1 << 64), v[1]) for k, v in want.items()), key=repr
+                )
