@@ -298,23 +298,24 @@ def distinct_grams(kernel: Kernel, ids: pa.Array, data: pa.Array, chunk_size: in
     coded = pa.concat_arrays(feats).dictionary_encode()
     row, at = (np.concatenate(x).astype(np.int64) for x in zip(*places))
     code, dim = coded.indices.to_numpy(), np.concatenate(dims)
-    chunk = ids // chunk_size if chunk_size else np.zeros(len(ids), np.int64)
-    in_chunk, valid = chunk[row], known[row]
-    order = np.lexsort((at, ids[row], ~valid, code, in_chunk) if chunk_size else (at, ids[row], ~valid, code))
+    chunk, valid, key, kinds = ids // (chunk_size or 1), known[row], code, len(coded.dictionary)
     if chunk_size:  # rows without an id have a chunk of their own
-        order = order[np.argsort(~valid[order], kind="stable")]
-    c, k, v = code[order], in_chunk[order], valid[order]
-    edge = np.ones(len(c), bool)
-    edge[1:] = (c[1:] != c[:-1]) | ((k[1:] != k[:-1]) | (v[1:] != v[:-1]) if chunk_size else False)
-    start = np.flatnonzero(edge)
-    best = order[start]
+        known_chunks, of_row = np.unique(chunk[known], return_inverse=True)
+        group = np.full(len(ids), len(known_chunks))
+        group[known] = of_row
+        key, kinds = np.unique(group[row] * kinds + code, return_inverse=True)[::-1]
+        kinds = len(kinds)
+    best, order = np.empty(kinds, np.int64), np.arange(len(code))
+    if len(places) > 1 or not known.all() or not (ids[1:] > ids[:-1]).all():
+        order = np.lexsort((at, ids[row], ~valid))
+    best[key[order[::-1]]] = order[::-1]  # of several, the last one written stays, which is the first in order
     return pa.RecordBatch.from_arrays(
         [
-            pa.array(in_chunk[best], mask=~valid[best] | (chunk_size == 0)),
+            pa.array(chunk[row[best]], mask=~valid[best] | (chunk_size == 0)),
             pa.array(dim[best]),
             coded.dictionary.take(pa.array(code[best])).cast(pa.binary()),
             _places(ids[row[best]], valid[best], at[best]),
-            pa.array(np.diff(np.append(start, len(c)))),
+            pa.array(np.bincount(key, minlength=kinds)),
         ],
         names=["chunk", "dim", "feat", "first", "n"],
     )
